@@ -75,6 +75,9 @@ def compare(spark, con, name, fn, sql, sf_dir) -> list[str]:
 
 
 def main() -> int:
+    import logging
+
+    logging.disable(logging.CRITICAL)
     from scorelake.session import local_session
 
     import __spark_entry__ as entry
@@ -83,7 +86,7 @@ def main() -> int:
     sf_dir = f"/root/testdata/sf{sf}"
     only = sys.argv[2:]
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     oracles = entry.oracle_sql()
     failed = 0
@@ -93,7 +96,7 @@ def main() -> int:
         try:
             bad, n, ts, td = compare(spark, con, name, fn, oracles.get(name), sf_dir)
         except Exception as exc:  # noqa: BLE001
-            bad, n, ts, td = [f"{type(exc).__name__}: {str(exc)[:1500]}"], 0, 0, 0
+            bad, n, ts, td = [f"{type(exc).__name__}: {str(exc)[:700]}"], 0, 0, 0
         failed += bool(bad)
         print(f"{'FAIL' if bad else 'ok  '} {name} rows={n} spark={ts:.1f}s sql={td:.1f}s"
               + ("" if name in oracles else " (rows only)"), flush=True)
