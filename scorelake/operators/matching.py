@@ -181,37 +181,62 @@ def match_xs(
     )
     free = "array<struct<x:double,n:bigint>>"
 
+    whole = F.lit(0).cast("bigint")
+    empty = F.array().cast("array<struct<d:double,x:double,n:bigint>>")
+
+    def let(value, use):
+        """Evaluate ``value`` once inside a lambda."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
     def take(acc, g):
-        inside = F.filter(
-            acc["free"], lambda p: (p["n"] > 0) & (F.abs(p["x"] - g["x"]) <= F.col("_lim"))
-        )
+        inside = F.filter(acc["free"], lambda p: F.abs(p["x"] - g["x"]) <= F.col("_lim"))
         ranked = F.array_sort(
-            F.transform(inside, lambda p: F.struct(F.abs(p["x"] - g["x"]).alias("d"), p["x"].alias("x"), p["n"].alias("n")))
+            F.transform(
+                inside,
+                lambda p: F.struct(F.abs(p["x"] - g["x"]).alias("d"), p["x"].alias("x"), p["n"].alias("n")),
+            )
         )
-        empty = F.array().cast("array<struct<d:double,x:double,n:bigint>>")
         got = F.aggregate(
             ranked,
             F.struct(g["n"].alias("need"), empty.alias("got")),
             lambda s, c: F.struct(
                 (s["need"] - F.least(s["need"], c["n"])).alias("need"),
-                F.when(s["need"] > 0, F.concat(s["got"], F.array(F.struct(
-                    c["d"].alias("d"), c["x"].alias("x"), F.least(s["need"], c["n"]).alias("n")
-                )))).otherwise(s["got"]).alias("got"),
+                F.when(
+                    s["need"] > 0,
+                    F.concat(
+                        s["got"],
+                        F.array(
+                            F.struct(
+                                c["d"].alias("d"), c["x"].alias("x"), F.least(s["need"], c["n"]).alias("n")
+                            )
+                        ),
+                    ),
+                ).otherwise(s["got"]).alias("got"),
             ),
             lambda s: s["got"],
         )
-        return F.struct(
-            F.transform(
-                acc["free"],
+
+        def left(t):
+            """Free copies after ``t`` is taken; used-up positions are gone."""
+            near = F.transform(
+                F.filter(acc["free"], lambda p: F.exists(t, lambda u: u["x"] == p["x"])),
                 lambda p: F.struct(
                     p["x"].alias("x"),
-                    (p["n"] - F.aggregate(
-                        F.filter(got, lambda t: t["x"] == p["x"]), F.lit(0).cast("bigint"), lambda a, t: a + t["n"]
-                    )).alias("n"),
+                    (p["n"] - F.aggregate(F.filter(t, lambda u: u["x"] == p["x"]), whole, lambda a, u: a + u["n"])).alias("n"),
                 ),
-            ).cast(free).alias("free"),
-            (acc["tp"] + F.aggregate(got, F.lit(0).cast("bigint"), lambda a, t: a + t["n"])).alias("tp"),
-            (acc["dist"] + F.aggregate(got, F.lit(0.0), lambda a, t: a + t["d"] * t["n"])).alias("dist"),
+            )
+            rest = F.filter(acc["free"], lambda p: ~F.exists(t, lambda u: u["x"] == p["x"]))
+            return F.concat(rest, F.filter(near, lambda p: p["n"] > 0)).cast(free)
+
+        return let(
+            got,
+            lambda t: F.when(F.size(t) == 0, acc).otherwise(
+                F.struct(
+                    left(t).alias("free"),
+                    (acc["tp"] + F.aggregate(t, whole, lambda a, u: a + u["n"])).alias("tp"),
+                    (acc["dist"] + F.aggregate(t, F.lit(0.0), lambda a, u: a + u["d"] * u["n"])).alias("dist"),
+                )
+            ),
         )
 
     start = F.struct(F.col("ps").cast(free).alias("free"), F.lit(0).cast("bigint").alias("tp"), F.lit(0.0).alias("dist"))
