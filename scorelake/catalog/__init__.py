@@ -1,4 +1,4 @@
 """Registered queries over the driver tables, each with its SQL twin."""
 
-from scorelake.catalog import matching, pages, reports, splits  # noqa: F401
+from scorelake.catalog import matching, pages, reports, scores, splits  # noqa: F401
 from scorelake.catalog.base import ORACLES, QUERIES  # noqa: F401
