@@ -108,6 +108,16 @@ SELECT l_orderkey - l_orderkey % 8 AS page_id, {_IDX} * 8 + l_orderkey % 8 AS it
        CAST((l_partkey * 7) % 900 + CASE WHEN l_linenumber = 2 THEN 400 ELSE 20 + {_QTY} END AS DOUBLE) AS x2,
        CAST((l_suppkey * 11 + (l_orderkey % 8) * 100) % 1100 + CASE WHEN l_linenumber = 2 THEN 70 ELSE 30 END AS DOUBLE) AS y2,
        CAST(l_partkey % 100 AS DOUBLE) / 100 AS confidence
+FROM {{lineitem}}""",
+    # horizontal bands of a page with their glyph counts
+    "bands": f"""
+SELECT l_orderkey - l_orderkey % 8 AS page_id, {_IDX} * 8 + l_orderkey % 8 AS band_idx,
+       CAST(((l_orderkey % 8) * 7 + l_linenumber) * 45 + l_partkey % 12 AS INT) AS y0,
+       CAST(((l_orderkey % 8) * 7 + l_linenumber) * 45 + l_partkey % 12 + 8 + l_suppkey % 40 AS INT) AS y1,
+       CAST(l_partkey % 15 AS INT) AS n_digitish, CAST(l_suppkey % 14 AS INT) AS n_narrow,
+       CAST(floor(l_partkey / 7) AS INT) % 12 AS n_square, CAST(l_partkey % 2 AS INT) AS n_wide,
+       CAST(l_partkey % 15 + 2 AS INT) AS n_comps, CAST(14 + l_suppkey % 25 AS DOUBLE) AS med_ch,
+       CAST(l_partkey % 8 AS DOUBLE) / 8 AS staff_score
 FROM {{lineitem}}""",
     "trials": """
 SELECT o_orderkey AS trial, o_orderstatus AS layer, floor(o_totalprice) / 1048576 AS loss,

@@ -185,9 +185,10 @@ def decode_systems(heat: DataFrame, pages: DataFrame, length: int, *, min_promin
     """K6: row boxes from a y heat: peaks, half height .35 of the median spacing within
     3-12 % of the page, strong overlaps merged; a page without peaks gets its middle band."""
     keys = ["page_id"]
-    peaks = nms_1d(local_peaks(heat, keys, min_prominence=min_prominence), keys, max(3, length // 40))
+    bound = Hot(("page_id",), FOLD_ROWS) if length <= FOLD_ROWS else measure(heat, keys, FOLD_ROWS)  # one value per position
+    peaks = nms_1d(local_peaks(heat, keys, min_prominence=min_prominence, hot=bound), keys, max(3, length // 40), hot=bound)
     span = max(1, length - 1)
-    nxt = ordered(peaks, keys, ["pos"], leads={"_b": F.col("pos")})
+    nxt = ordered(peaks, keys, ["pos"], leads={"_b": F.col("pos")}, hot=bound)
     gap = nxt.groupBy(*keys).agg(F.median(F.col("_b") - F.col("pos")).alias("_gap"))
     h, w = F.col("height").cast("double"), F.col("width").cast("double")
     half = F.coalesce(F.col("_gap") / span * h * 0.35, h * band * 0.5)
@@ -201,13 +202,14 @@ def decode_systems(heat: DataFrame, pages: DataFrame, length: int, *, min_promin
         *keys, (w * margin).alias("x1"), F.greatest(F.lit(0.0), h * 0.5 - h * band * 0.5).alias("y1"),
         (w - w * margin).alias("x2"), F.least(h, h * 0.5 + h * band * 0.5).alias("y2"),
     )
-    return merge_overlaps(boxes.unionByName(middle), keys)
+    return merge_overlaps(boxes.unionByName(middle), keys, hot=bound)
 
 
 def decode_splits(heat: DataFrame, rows: DataFrame, keys: Sequence[str], length: int, *, min_prominence: float = 0.28) -> DataFrame:
     """K6: line positions of a row from its x heat."""
     keys = list(keys)
-    peaks = nms_1d(local_peaks(heat, keys, min_prominence=min_prominence), keys, max(3, length // 32))
+    bound = Hot(tuple(keys), FOLD_ROWS) if length <= FOLD_ROWS else measure(heat, keys, FOLD_ROWS)  # one value per position
+    peaks = nms_1d(local_peaks(heat, keys, min_prominence=min_prominence, hot=bound), keys, max(3, length // 32), hot=bound)
     width = F.greatest(F.lit(1e-3), F.col("x2") - F.col("x1"))
     x = F.col("x1") + F.col("pos") / max(1, length - 1) * width
     return peaks.join(rows.select(*keys, "x1", "x2"), keys).withColumn("x", x).where(

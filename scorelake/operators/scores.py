@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import rhythm
 from scorelake.plans.lineage import cut
-from scorelake.plans.skew import FOLD_ROWS, Hot, measure, ordered, segments
+from scorelake.plans.skew import FOLD_ROWS, SCAN_ROWS, Hot, measure, ordered, segments, within
 
 EPS = 0.35  # beats a bar may miss or exceed its meter
 ORDER = ("measure_no", "note_idx")
@@ -27,10 +27,11 @@ def sounding() -> Column:
 def assign_ties(notes: DataFrame, keys: Sequence[str] = ("score_id", "measure_no")) -> DataFrame:
     """``start`` on a held note with a next note, ``stop`` on the note after it."""
     keys = list(keys)
+    hot = measure(notes, keys, SCAN_ROWS)
     held = F.coalesce("sustain_dashes", F.lit(0)) > 0
-    out = ordered(notes, keys, ["note_idx"], leads={"_next": sounding()})
+    out = ordered(notes, keys, ["note_idx"], leads={"_next": sounding()}, hot=hot)
     out = out.withColumn("_start", held & F.coalesce("_next", F.lit(False)))
-    out = ordered(out, keys, ["note_idx"], lags={"_prev": F.col("_start")})
+    out = ordered(out, keys, ["note_idx"], lags={"_prev": F.col("_start")}, hot=hot)
     tie = F.when(F.col("_start"), "start").when(F.coalesce("_prev", F.lit(False)), "stop")
     return out.withColumn("tie", tie).drop("_next", "_start", "_prev")
 
@@ -77,6 +78,7 @@ def melody_timeline(
     """onset in beats and ms (each note lasts 80 ms at least), MIDI number and pitch
     in Hz of every note, in order; tempo 80 when none is given."""
     s = scores.select("score_id", "key", rhythm.beat_ms(F.col("tempo_bpm")).alias("_ms"))
+    hot = hot or measure(notes, ["score_id"], SCAN_ROWS)
     out = notes.join(s, "score_id").withColumn("beats", beats())
     out = out.withColumn("duration_ms", F.greatest(F.lit(80.0), F.col("beats") * F.col("_ms")))
     out = ordered(
@@ -233,7 +235,7 @@ def pack_by_meter(
     keys, order = list(keys), list(order)
     cap = F.when(F.col("capacity") > 0, F.col("capacity")).otherwise(4.0)
     slim = notes.select(*keys, *order, beats().alias("_b"), cap.alias("capacity"))
-    hot = hot or measure(slim, keys, FOLD_ROWS)
+    hot = hot or measure(notes, keys, FOLD_ROWS)
     if hot.table is None:
         bars = _pack_fold(slim, keys, order)
     else:
@@ -247,11 +249,12 @@ def rebalance(notes: DataFrame, *, eps: float = EPS, hot: Hot | None = None) ->
     """Measures above capacity + eps with more than one note are repacked, then all
     measures renumbered; short measures are left alone. Adds ``new_measure_no``."""
     keys = ["score_id", "measure_no"]
+    hot = hot or measure(notes, ["score_id"], FOLD_ROWS)
     per = notes.groupBy(*keys).agg(
         F.sum(beats()).alias("_t"), F.count(F.lit(1)).alias("_n"), F.max("capacity").alias("_cap")
     )
     over = per.where((F.col("_t") > F.col("_cap") + eps) & (F.col("_n") > 1) & (F.col("_cap") > 0)).select(*keys)
-    packed = pack_by_meter(notes.join(over, keys, "left_semi"), keys, ["note_idx"])
+    packed = pack_by_meter(notes.join(over, keys, "left_semi"), keys, ["note_idx"], hot=within(hot, notes, keys))
     kept = notes.join(over, keys, "left_anti").withColumn("bar_no", F.lit(1))
     parts = packed.unionByName(kept)
     sizes = parts.groupBy(*keys).agg(F.max("bar_no").alias("_bars"))
@@ -440,7 +443,8 @@ def assemble_scores(pages: DataFrame, measures: DataFrame, notes: DataFrame) ->
         F.when(F.col("is_rest"), 0).otherwise(F.coalesce("octave", F.lit(0))).alias("octave"),
         "confidence", "pitch_from",
     )
-    n = ordered(n, ["page_id", "global_no"], ["slot_idx"], number="_n")
+    hot = measure(notes, ["page_id", "global_no"], SCAN_ROWS)
+    n = ordered(n, ["page_id", "global_no"], ["slot_idx"], number="_n", hot=hot)
     n = n.withColumn("note_idx", F.col("_n") - 1).drop("_n", "slot_idx")
     filled = measures.select("page_id", "global_no", "system_idx", "measure_idx", "measure_source").join(
         n, ["page_id", "global_no"], "left"

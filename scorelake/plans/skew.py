@@ -58,6 +58,13 @@ def measure(df: DataFrame, keys: Sequence[str], limit: int) -> Hot:
     return Hot(tuple(keys), limit, table, table.count())
 
 
+def within(hot: Hot, df: DataFrame, keys: Sequence[str]) -> Hot:
+    """The same question for finer ``keys`` of ``df``: none is hot when no coarse key is."""
+    if hot.table is None:
+        return Hot(tuple(keys), hot.limit)
+    return measure(df, keys, hot.limit)
+
+
 def _columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
