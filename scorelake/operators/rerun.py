@@ -89,8 +89,10 @@ def _propose(mine: DataFrame, theirs: DataFrame, tile: float) -> DataFrame:
     at = lambda df: df.withColumns({"x1": F.col("px"), "x2": F.col("px"), "y1": F.col("py"), "y2": F.col("py")})
     dx, dy = F.col("r.px") - F.col("l.px"), F.col("r.py") - F.col("l.py")
     dist = dx * dx + dy * dy
-    pick = F.min_by(F.struct(F.col("r.draft_idx").alias("draft_idx"), dist.alias("d")), F.struct(dist.alias("d"), F.col("r.draft_idx").alias("i")))
-    me = F.col("l.item_idx").alias("item_idx")
+    wishes = lambda pairs: pairs.select(
+        *PAGE, F.col("l.item_idx").alias("item_idx"), F.struct(dist.alias("d"), F.col("r.draft_idx").alias("draft_idx")).alias("c")
+    )
+    best_of = lambda w: w.groupBy(*PAGE, "item_idx").agg(F.min("c").alias("c"))
     given_up = None
     while True:
         asks = theirs.join(held.where("item_idx IS NOT NULL"), PAGE + ["item_idx"], "left_anti")
@@ -100,7 +102,7 @@ def _propose(mine: DataFrame, theirs: DataFrame, tile: float) -> DataFrame:
         if asks.isEmpty():
             break
         free = at(held.where("item_idx IS NULL"))
-        a = near(asks, free, PAGE, tile=tile).groupBy(*PAGE, me).agg(pick.alias("c"))
+        a = best_of(wishes(near(asks, free, PAGE, tile=tile)))
         a = cut(asks.join(a, PAGE + ["item_idx"], "left"))
         busy = at(held.where("item_idx IS NOT NULL").withColumnRenamed("item_idx", "holder"))
         reach = F.sqrt("c.d")
@@ -113,9 +115,7 @@ def _propose(mine: DataFrame, theirs: DataFrame, tile: float) -> DataFrame:
         last = busy.groupBy(*PAGE).agg(F.max("holder").alias("_last"))
         lost = a.where("c IS NULL").drop("c").join(last, PAGE).where(F.col("item_idx") < F.col("_last")).drop("_last")
         w = lost.select(*PAGE, F.struct(*lost.columns).alias("l")).join(busy.select(*PAGE, F.struct(*busy.columns).alias("r")), PAGE).where(late)
-        more = b.unionByName(w.select(*b.columns)).groupBy(*PAGE, me).agg(pick.alias("c"))
-        wish = a.where("c IS NOT NULL").select(*PAGE, "item_idx", "c").unionByName(more)
-        wish = wish.groupBy(*PAGE, "item_idx").agg(F.min_by("c", F.struct("c.d", "c.draft_idx")).alias("c"))
+        wish = best_of(a.where("c IS NOT NULL").select(*PAGE, "item_idx", "c").unionByName(wishes(b)).unionByName(wishes(w)))
         wish = cut(wish.select(*PAGE, "item_idx", F.col("c.draft_idx").alias("draft_idx")))
         none = asks.select(*PAGE, "item_idx").join(wish, PAGE + ["item_idx"], "left_anti")
         given_up = cut(none if given_up is None else given_up.unionByName(none))

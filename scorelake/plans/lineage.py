@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a
     local session (tests) may fall back to a temporary folder: on a cluster a
     machine-local folder would be lost together with its executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,4 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="scorelake-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

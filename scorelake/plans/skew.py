@@ -123,8 +123,8 @@ def ordered(
     hot = hot or measure(df, keys, SCAN_ROWS)
     split = hot.table is not None
     if split:
-        df = segments(df, hot, order)
-    part = keys + (["_seg"] if split else [])
+        df = segments(df, hot, order).withColumnRenamed("_seg", "__seg")
+    part = keys + (["__seg"] if split else [])
     win = Window.partitionBy(*part).orderBy(*by)
     before = win.rowsBetween(Window.unboundedPreceding, -1)
     new = {n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}
@@ -132,41 +132,41 @@ def ordered(
     new |= {n: F.lag(c).over(win) for n, c in lags.items()}
     new |= {n: F.lead(c).over(win) for n, c in leads.items()}
     if number or split:
-        new[number or "_rn"] = F.row_number().over(win)
+        new[number or "__rn"] = F.row_number().over(win)
     if not split:
         return df.withColumns(new)
-    rn = number or "_rn"
+    rn = number or "__rn"
     key = F.struct(*by)
-    totals = [F.count(F.lit(1)).alias("_n")]
-    totals += [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]
-    totals += [F.max(c).alias(f"_m_{n}") for n, c in maxima.items()]
-    totals += [F.max_by(F.struct(c.alias("v")), key).alias(f"_l_{n}") for n, c in lags.items()]
-    totals += [F.min_by(F.struct(c.alias("v")), key).alias(f"_d_{n}") for n, c in leads.items()]
-    wk = Window.partitionBy(*keys).orderBy("_seg")
+    totals = [F.count(F.lit(1)).alias("__rows")]
+    totals += [F.sum(c).alias(f"__s_{n}") for n, c in sums.items()]
+    totals += [F.max(c).alias(f"__m_{n}") for n, c in maxima.items()]
+    totals += [F.max_by(F.struct(c.alias("v")), key).alias(f"__l_{n}") for n, c in lags.items()]
+    totals += [F.min_by(F.struct(c.alias("v")), key).alias(f"__d_{n}") for n, c in leads.items()]
+    wk = Window.partitionBy(*keys).orderBy("__seg")
     wb = wk.rowsBetween(Window.unboundedPreceding, -1)
-    carry = df.groupBy(*keys, "_seg").agg(*totals)
+    carry = df.groupBy(*keys, "__seg").agg(*totals)
     carry = carry.select(
         *keys,
-        "_seg",
-        F.col("_n"),
-        F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_before"),
-        *[F.coalesce(F.sum(f"_s_{n}").over(wb), F.lit(0)).alias(f"_s_{n}") for n in sums],
-        *[F.max(f"_m_{n}").over(wb).alias(f"_m_{n}") for n in maxima],
-        *[F.lag(f"_l_{n}").over(wk)["v"].alias(f"_l_{n}") for n in lags],
-        *[F.lead(f"_d_{n}").over(wk)["v"].alias(f"_d_{n}") for n in leads],
+        "__seg",
+        F.col("__rows"),
+        F.coalesce(F.sum("__rows").over(wb), F.lit(0)).alias("__before"),
+        *[F.coalesce(F.sum(f"__s_{n}").over(wb), F.lit(0)).alias(f"__s_{n}") for n in sums],
+        *[F.max(f"__m_{n}").over(wb).alias(f"__m_{n}") for n in maxima],
+        *[F.lag(f"__l_{n}").over(wk)["v"].alias(f"__l_{n}") for n in lags],
+        *[F.lead(f"__d_{n}").over(wk)["v"].alias(f"__d_{n}") for n in leads],
     )
-    out = df.withColumns(new).join(carry, keys + ["_seg"], "left")
-    fix = {n: F.col(n) + F.col(f"_s_{n}") for n in sums}
-    fix |= {n: F.greatest(n, f"_m_{n}") for n in maxima}
-    fix |= {n: F.when(F.col(rn) == 1, F.col(f"_l_{n}")).otherwise(F.col(n)) for n in lags}
+    out = df.withColumns(new).join(carry, keys + ["__seg"], "left")
+    fix = {n: F.col(n) + F.col(f"__s_{n}") for n in sums}
+    fix |= {n: F.greatest(n, f"__m_{n}") for n in maxima}
+    fix |= {n: F.when(F.col(rn) == 1, F.col(f"__l_{n}")).otherwise(F.col(n)) for n in lags}
     fix |= {
-        n: F.when(F.col(rn) == F.col("_n"), F.col(f"_d_{n}")).otherwise(F.col(n)) for n in leads
+        n: F.when(F.col(rn) == F.col("__rows"), F.col(f"__d_{n}")).otherwise(F.col(n)) for n in leads
     }
     if number:
-        fix[number] = (F.col(number) + F.col("_before")).cast("int")
+        fix[number] = (F.col(number) + F.col("__before")).cast("int")
     out = out.withColumns(fix)
-    spare = [c for c in out.columns if c in ("_seg", "_n", "_before", "_rn")]
-    spare += [c for c in out.columns if c[:3] in ("_s_", "_m_", "_l_", "_d_")]
+    spare = [c for c in out.columns if c in ("__seg", "__rows", "__before", "__rn")]
+    spare += [c for c in out.columns if c[:4] in ("__s_", "__m_", "__l_", "__d_")]
     return out.drop(*spare)
 
 
@@ -195,10 +195,3 @@ def islands(
     df = df.withColumn("_open", opens).drop("_far")
     df = ordered(df, keys, order, sums={name: F.col("_open")}, hot=hot)
     return df.withColumn(name, F.col(name) + F.col("_open")).drop("_open")
-
-
-def sorted_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rows") -> DataFrame:
-    """Rows of each key as one array sorted by ``order`` (keys bounded by the caller)."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*order, *rest)
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias(name))

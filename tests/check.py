@@ -42,7 +42,7 @@ def rows_of(names, rows):
 
 def plain(t: str) -> str:
     t = t.lower()
-    return {"varchar": "string", "integer": "int", "hugeint": "HUGEINT"}.get(t, t)
+    return {"varchar": "string", "integer": "int", "hugeint": "HUGEINT", "timestamp": "timestamp_ntz"}.get(t, t)
 
 
 def compare(spark, con, name, fn, sql, sf_dir) -> list[str]:
