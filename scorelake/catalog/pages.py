@@ -302,3 +302,63 @@ def q_i3(spark, sf):
     items = view(spark, sf, "items")
     one = lambda c: spark.sql(REG.replace("{c}", c), i=items)
     return pg.merge_regions(one("item_idx % 3 <> 0"), one("item_idx % 3 <> 1")).select("page_id", "role", "x1", "y1")
+
+
+@query("export_layouts")
+def q_f4b(spark, sf):
+    from scorelake.operators.exports import export_layouts
+
+    items = view(spark, sf, "items")
+    out = export_layouts(items, spark.sql(BARS.replace(" AND page_id % 16 = 0", ""), i=items))
+    tall = lambda name, *cols: out[name].select(
+        "page_id", F.lit(name).alias("part"), F.concat_ws("/", *[F.col(c).cast("string") for c in cols]).alias("path")
+    )
+    return (
+        tall("regions", "role", "leads").unionByName(tall("systems", "system_idx", "system_id"))
+        .unionByName(tall("splits", "system_idx", "split_idx", "source")).unionByName(tall("measures", "system_idx", "measure_idx"))
+    )
+
+
+OV_M = "SELECT score_id AS page_id, measure_no AS global_no, 0 AS system_idx, measure_no AS measure_idx, CAST(measure_no * 10 AS DOUBLE) AS x1, CAST(0 AS DOUBLE) AS y1, CAST(measure_no * 10 + 9 AS DOUBLE) AS x2, CAST(9 AS DOUBLE) AS y2, CASE WHEN source = 'layout' THEN 'l3_split' ELSE 'whole_line' END AS measure_source, CAST(0.5 AS DOUBLE) AS confidence FROM {m}"
+OV_N = "SELECT score_id AS page_id, measure_no AS global_no, 0 AS system_idx, measure_no AS measure_idx, note_idx, CASE WHEN pitch_from = 'mixed' THEN 'chord' ELSE 'pitch' END AS kind, pitch, is_rest, CASE WHEN note_idx % 6 = 0 THEN NULL ELSE duration END AS duration, dots, octave, dots AS underlines, sustain_dashes, pitch_from, CASE WHEN note_idx % 3 = 0 THEN '' ELSE duration END AS ocr_text, ocr_score, CAST(0 AS DOUBLE) AS x1, CAST(0 AS DOUBLE) AS y1, CAST(5 AS DOUBLE) AS x2, CAST(5 AS DOUBLE) AS y2, CAST(0.5 AS DOUBLE) AS confidence FROM {n}"
+
+
+def _overlay(spark, sf):
+    m = spark.sql(OV_M, m=view(spark, sf, "score_measures"))
+    n = spark.sql(OV_N, n=view(spark, sf, "score_notes"))
+    regions = view(spark, sf, "items").where("layer = 'L1'").withColumnsRenamed({"kind": "role", "item_idx": "region_idx"})
+    return regions, view(spark, sf, "systems").withColumn("confidence", F.lit(0.5)), m, n
+
+
+@query(
+    "overlay_items",
+    f"""WITH m AS ({OV_M.replace('{m}', '{v:score_measures}')}), n AS ({OV_N.replace('{n}', '{v:score_notes}')})
+SELECT page_id, 'L1' AS layer, concat('l1-', kind) AS id, kind AS label, NULL AS pitch FROM {{v:items}} WHERE layer = 'L1'
+UNION ALL SELECT page_id, 'L2', concat('l2-sys', system_idx), concat('谱行 ', system_idx + 1), NULL FROM {{v:systems}}
+UNION ALL SELECT page_id, 'L3', concat('l3-m', global_no), concat('m', global_no, CASE WHEN measure_source = 'l3_split' THEN '' ELSE '/' || measure_source END), NULL FROM m
+UNION ALL SELECT page_id, 'L4', concat('l4-m', global_no, '-', kind, note_idx), concat(CASE WHEN kind = 'pitch' THEN 'n' ELSE 'c' END, note_idx + 1), NULL FROM n
+UNION ALL SELECT page_id, 'L5', concat('l5-m', global_no, '-n', note_idx), CASE WHEN duration IS NULL THEN '?' ELSE concat(coalesce(pitch, CASE WHEN is_rest THEN '0' ELSE '?' END),
+  CASE WHEN underlines <> 0 THEN concat('_', underlines) ELSE '' END, repeat('.', least(2, dots)), CASE WHEN octave > 0 THEN concat('@+', octave) WHEN octave < 0 THEN concat('@', octave) ELSE '' END,
+  CASE WHEN sustain_dashes <> 0 THEN '-' ELSE '' END, CASE WHEN pitch_from = 'geometry' THEN '~' ELSE '' END) END, pitch FROM n WHERE kind = 'pitch'""",
+)
+def q_f17b(spark, sf):
+    return pg.overlay_items(*_overlay(spark, sf)).select("page_id", "layer", "id", "label", "pitch")
+
+
+@query(
+    "boxes_from_layout",
+    f"""WITH m AS ({OV_M.replace('{m}', '{v:score_measures}')}), n AS ({OV_N.replace('{n}', '{v:score_notes}')})
+SELECT page_id AS sample_id, 'L1' AS layer, kind AS label, kind FROM {{v:items}} WHERE layer = 'L1' UNION ALL SELECT page_id, 'L2', concat('sys', system_idx), 'system' FROM {{v:systems}}
+UNION ALL SELECT page_id, 'L3', concat('m', measure_idx), 'measure' FROM m UNION ALL SELECT page_id, 'L4', concat(kind, note_idx), kind FROM n""",
+)
+def q_a4b(spark, sf):
+    r, s, m, n = _overlay(spark, sf)
+    return pg.boxes_from_layout(r, s, m, n).select("sample_id", "layer", "label", "kind")
+
+
+@query(
+    "recognition_facts",
+    f"""WITH n AS ({OV_N.replace('{n}', '{v:score_notes}')}) SELECT page_id, measure_idx, note_idx, coalesce(nullif(ocr_text, ''), pitch, '') AS text, CASE WHEN pitch IS NOT NULL THEN 'pitch' ELSE 'other' END AS kind, ocr_score AS score FROM n""",
+)
+def q_f17c(spark, sf):
+    return pg.recognition_facts(_overlay(spark, sf)[3]).select("page_id", "measure_idx", "note_idx", "text", "kind", "score")

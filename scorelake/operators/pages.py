@@ -88,23 +88,26 @@ def boxes_from_items(items: DataFrame) -> DataFrame:
 def boxes_from_layout(
     regions: DataFrame, systems: DataFrame, measures: DataFrame, notes: DataFrame
 ) -> DataFrame:
-    """The same boxes from layer tables; a note without kind is a pitch."""
+    """The same boxes from layer tables; a note without kind is a pitch.
+
+    ``box_idx`` is the index path of the box, which sorts like the nested lists.
+    """
     sys_no = F.col("system_idx").cast("string")
     meas_no = F.col("measure_idx").cast("string")
     kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("pitch"))
-    wide = lambda *parts: sum((c.cast("bigint") * 10 ** (5 * (len(parts) - 1 - i)) for i, c in enumerate(parts)), F.lit(0))
+    path = lambda *parts: F.array(*[F.col(c).cast("bigint") for c in parts])  # compares in reading order
     part = lambda df, layer, idx, label, k: df.select(
         F.col("page_id").alias("sample_id"), F.lit(layer).alias("layer"), idx.alias("box_idx"),
         label.alias("label"), k.alias("kind"), *box.SIDES,
     )
     return (
-        part(regions, "L1", F.col("region_idx").cast("bigint"), F.col("role"), F.col("role"))
-        .unionByName(part(systems, "L2", wide(F.col("system_idx")), F.concat(F.lit("sys"), sys_no), F.lit("system")))
+        part(regions, "L1", path("region_idx"), F.col("role"), F.col("role"))
+        .unionByName(part(systems, "L2", path("system_idx"), F.concat(F.lit("sys"), sys_no), F.lit("system")))
         .unionByName(
-            part(measures, "L3", wide(F.col("system_idx"), F.col("measure_idx")), F.concat(F.lit("m"), meas_no), F.lit("measure"))
+            part(measures, "L3", path("system_idx", "measure_idx"), F.concat(F.lit("m"), meas_no), F.lit("measure"))
         )
         .unionByName(
-            part(notes, "L4", wide(F.col("system_idx"), F.col("measure_idx"), F.col("note_idx")),
+            part(notes, "L4", path("system_idx", "measure_idx", "note_idx"),
                  F.concat(kind, F.col("note_idx").cast("string")), kind)
         )
     )
