@@ -11,7 +11,7 @@ from scorelake.functions import box
 from scorelake.operators.placement import resolve_parent
 from scorelake.operators.problems import first_n
 from scorelake.operators.splits import as_lines, derive_measures, normalize_splits
-from scorelake.plans.skew import FOLD_ROWS, Hot, islands, measure, ordered
+from scorelake.plans.skew import FOLD_ROWS, Hot, attach_row, islands, measure, ordered
 
 
 def train_val_split(samples: DataFrame, *, ratio: float = 0.25, seed: int = 0, key: str = "sample_id") -> DataFrame:
@@ -37,7 +37,7 @@ def train_val_split(samples: DataFrame, *, ratio: float = 0.25, seed: int = 0, k
         ),
     )
     border = hist.withColumn("n_val", n_val).withColumn("w", walk).select("n_val", F.col("w.b").alias("_cut"), F.col("w.need").alias("_need"))
-    s = s.join(F.broadcast(border))  # one row
+    s = attach_row(s, border)
     edge = s.where(F.col("_b") == F.col("_cut"))
     edge = ordered(edge, ["_b"], ["_h", key], number="_k")
     inside = edge.where((F.col("_k") <= F.col("_need")) & (F.col("n_val") > 0)).select(key, F.lit(True).alias("_in"))

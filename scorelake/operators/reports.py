@@ -133,16 +133,24 @@ def compare_samples(
 
 def batch_report(metrics: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """E5: mean F1 and counts per layer; samples that failed only count as samples."""
-    per_layer = metrics.groupBy("layer").agg(
+    rows = metrics.select("sample_id", "layer", "f1", "tp", "fp", "fn")
+    if errors is not None:
+        rows = rows.unionByName(errors.select("sample_id"), allowMissingColumns=True)
+    # one pass gives the layers and, as the roll-up's total, the samples
+    sums = ["tp", "fp", "fn"]
+    agg = rows.rollup("layer").agg(
+        F.grouping("layer").alias("_all"),
         F.avg("f1").alias("mean_f1"),
-        F.count(F.lit(1)).alias("n_layer"),
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
+        F.count("f1").alias("n_layer"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.count_distinct("sample_id").alias("_ids"),
     )
-    ids = metrics.select("sample_id")
-    if errors is not None:
-        ids = ids.unionByName(errors.select("sample_id"))
-    total = ids.agg(F.count_distinct("sample_id").alias("n_samples"))
-    return per_layer.join(F.broadcast(total))  # one row
+    layer = F.struct("layer", "mean_f1", "n_layer", *sums)
+    few = agg.groupBy().agg(  # one row per layer
+        F.collect_list(F.when((F.col("_all") == 0) & F.col("layer").isNotNull(), layer)).alias("r"),
+        F.max(F.when(F.col("_all") == 1, F.col("_ids"))).alias("n_samples"),
+    )
+    return few.select(F.explode("r").alias("r"), "n_samples").select("r.*", "n_samples")
 
 
 def report_matrix(metrics: DataFrame, layers: Sequence[str]) -> DataFrame:

@@ -168,16 +168,20 @@ def sweep_summary(losses: DataFrame, *, objective: str = "loss") -> DataFrame:
         F.avg("loss").alias("loss"), F.avg("score").alias("score"), F.avg("f1").alias("f1"),
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
     )
-    best = best_trial(per, objective=objective, by=None).select(F.col("trial").alias("best_trial"))
-    base = per.where("trial = 0").select(F.col(objective).alias("_base"))
-    better = F.col(objective) - F.col("_base")
-    better = better if objective == "loss" else -better
-    return (
-        per.join(F.broadcast(base)).join(F.broadcast(best))  # one row each
-        .withColumn("is_best", F.col("trial") == F.col("best_trial"))
-        .withColumn("improved", better <= 1e-12)
-        .withColumn("strictly_improved", better < -1e-12)
-        .drop("_base", "best_trial")
+    sign = 1 if objective == "loss" else -1
+    goal = sign * F.col(objective)
+    few = per.groupBy().agg(  # at most MAX_TRIALS rows
+        F.collect_list(F.struct(*per.columns)).alias("r"),
+        F.min_by("trial", F.struct(goal.alias("g"), F.col("trial"))).alias("best"),
+        F.max(F.when(F.col("trial") == 0, goal)).alias("base"),
+    )
+    out = few.select(F.explode("r").alias("r"), "best", "base").select("r.*", "best", "base")
+    better = goal - F.col("base")
+    return out.select(
+        *per.columns,
+        (F.col("trial") == F.col("best")).alias("is_best"),
+        (better <= 1e-12).alias("improved"),
+        (better < -1e-12).alias("strictly_improved"),
     )
 
 

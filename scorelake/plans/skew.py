@@ -47,6 +47,12 @@ def small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_KEYS else df
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row."""
+    one = row.withColumn("__one", F.lit(1))
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+
+
 def measure(df: DataFrame, keys: Sequence[str], limit: int) -> Hot:
     """Find the keys with more than ``limit`` rows (one pass over the key columns)."""
     keys = list(keys)
