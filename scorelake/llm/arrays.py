@@ -130,7 +130,16 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, size: int, total: int) -> np.ndarray:
     """Which of ``total`` places lie in a window of ``size`` places that begins at one of ``starts``."""
-    change = np.zeros(total + size + 1, np.int32)
-    np.add.at(change, starts, 1) if len(starts) != len(np.unique(starts)) else change.__setitem__(starts, 1)
-    change[starts + size] -= 1
+    change = np.bincount(starts, minlength=total + size + 1) - np.bincount(starts + size, minlength=total + size + 1)
     return np.cumsum(change[:total]) > 0
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number; zeros stand behind the end."""
+    out = np.zeros(len(data) + 8, np.uint64)
+    out[: len(data)] = data
+    for step in (1, 2, 4):
+        shifted = out << np.uint64(8 * step)
+        shifted[:-step] |= out[step:]
+        out = shifted
+    return out

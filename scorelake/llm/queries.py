@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import links, rules
+from scorelake.llm import links, overlaps, passages, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,15 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.screen_texts(page_texts(spark, sf_dir))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select(F.col("page_id").alias("doc_id"), *counts, "base_failed", "kept")
+
+
+@query("op2_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlaps.remove_overlaps(page_texts(spark, sf_dir))
+    return found.select(F.col("page_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeated_passages(page_texts(spark, sf_dir))
+    return found.select(F.col("page_id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
