@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake.llm.arrays import Words, buffers, pieces
 from scorelake.llm.exchange import written
@@ -137,7 +138,7 @@ class QualityModel:
 def statistics_of(page_texts: DataFrame, page_col: str = "page_id", text_col: str = "text") -> DataFrame:
     """(page_id, stats array<double>) of every whole text."""
     rows = page_texts.select(F.col(page_col), F.col(text_col).alias("__text"))
-    schema = rows.drop("__text").schema.add("stats", "array<double>")
+    schema = rows.drop("__text").schema.add("stats", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +231,7 @@ def _calibrated(model: QualityModel, rows: DataFrame) -> QualityModel:
 
 def score_pages(stats: DataFrame, model: QualityModel, threshold: float = 0.3, page_col: str = "page_id") -> DataFrame:
     """(page_id, score, predicted) for rows of ``statistics_of``."""
-    schema = stats.select(page_col).schema.add("score", "double").add("predicted", "int")
+    schema = stats.select(page_col).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

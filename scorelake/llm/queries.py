@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import links, overlaps, passages, rules
+from scorelake.llm import archives, links, overlaps, packing, passages, quality, rules
+from scorelake.llm.exchange import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +30,17 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text")
 
 
+def page_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality labels as reviews, without the rows held out for testing."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    return labels.filter(learn).select(F.col("doc_id").alias("page_id"), F.col("quality").alias("accepted"))
+
+
+def n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), rules.WORD_BREAK), lambda w: w != ""))
+
+
 LINK_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 LINK_PATTERNS = [("block", "ads-*/"), ("block", "*track*/"), ("block", "*/*login"), ("block", "*/*.exe")]
 
@@ -107,3 +119,27 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.remove_repeated_passages(page_texts(spark, sf_dir))
     return found.select(F.col("page_id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op1_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = quality.grade_pages(page_texts(spark, sf_dir), page_reviews(spark, sf_dir))
+    held_out = F.crc32(F.col("page_id").cast("string").cast("binary")) % 5 == 0
+    return graded.select(F.col("page_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op4_warc")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.col("html").alias("body"))
+    folder = scratch(spark, "archives")
+    archives.archive_pages(pages, folder)
+    back = archives.read_archives(spark, folder, payloads=False)
+    ids = {c: F.col(c).cast("bigint").alias(c) for c in ("page_id", "refers_to")}
+    return back.select(ids["page_id"], "payload_bytes", "payload_digest", "record_type", ids["refers_to"])
+
+
+@query("op7_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = docs.select(F.col("doc_id").alias("score_id"), n_words(F.col("text")).alias("n_tokens"))
+    return packing.pack_sequences(sizes).withColumnRenamed("score_id", "doc_id")
