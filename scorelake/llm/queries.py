@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import archives, links, overlaps, packing, passages, quality, rules
+from scorelake.llm import archives, links, near, overlaps, packing, passages, quality, rules
 from scorelake.llm.exchange import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,8 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = docs.select(F.col("doc_id").alias("score_id"), n_words(F.col("text")).alias("n_tokens"))
     return packing.pack_sequences(sizes).withColumnRenamed("score_id", "doc_id")
+
+
+@query("op5_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(page_texts(spark, sf_dir)).withColumnRenamed("page_id", "doc_id")
