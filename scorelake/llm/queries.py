@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import archives, links, near, overlaps, packing, passages, quality, rules
+from scorelake.llm import archives, contamination, links, near, overlaps, packing, passages, quality, rules
 from scorelake.llm.exchange import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,10 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(page_texts(spark, sf_dir)).withColumnRenamed("page_id", "doc_id")
+
+
+@query("op3_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("item_id", "sample_id")
+    found = contamination.find_leaks(page_texts(spark, sf_dir), samples)
+    return found.withColumnsRenamed({"page_id": "doc_id", "sample_id": "item_id"})
