@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import archives, contamination, links, near, overlaps, packing, passages, quality, rules
+from scorelake.llm import archives, chat, contamination, links, near, overlaps, packing, passages, quality, rules
 from scorelake.llm.exchange import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,47 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("item_id", "sample_id")
     found = contamination.find_leaks(page_texts(spark, sf_dir), samples)
     return found.withColumnsRenamed({"page_id": "doc_id", "sample_id": "item_id"})
+
+
+TURN_SCHEMAS = {
+    "user": {"properties": {"prompt": "string", "turn": "integer"}, "required": ["prompt", "turn"], "additional": False},
+    "system": {"properties": {"prompt": "string", "turn": "integer", "scope": "string"}, "required": ["prompt", "scope"]},
+}
+
+
+@query(
+    "op8_chat_formatting",
+    """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, role, text, CASE WHEN turn >= 2 THEN turn - 2 WHEN turn = 1 THEN 0 END AS after
+  FROM conversations WHERE role <> 'assistant'),
+r AS (SELECT conv_id, turn, turn - 1 AS id, text FROM conversations WHERE role = 'assistant'),
+d AS (
+  SELECT c.conv_id, c.turn, 0 AS depth FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.after WHERE p.turn IS NULL
+  UNION ALL
+  SELECT c.conv_id, c.turn, d.depth + 1 FROM d JOIN c ON c.conv_id = d.conv_id AND c.after = d.turn)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, CAST(coalesce(c.turn, r.id) AS VARCHAR) AS call_id, c.turn AS turn, r.turn AS result_turn,
+       c.role AS name, d.depth::BIGINT AS depth,
+       CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'open' ELSE 'linked' END AS status,
+       CASE WHEN c.turn IS NULL THEN 'call: missing' WHEN c.role = 'system' THEN 'scope: missing' WHEN c.role = 'user' THEN ''
+            ELSE 'name: no such tool' END AS errors,
+       '{"arguments":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '}' END
+         || ',"id":"' || coalesce(c.turn, r.id) || '","name":' || CASE WHEN c.role IS NULL THEN 'null' ELSE to_json(c.role) END
+         || ',"result":' || CASE WHEN r.text IS NULL THEN 'null' ELSE to_json(r.text) END || '}' AS json
+FROM c FULL JOIN r ON r.conv_id = c.conv_id AND r.id = c.turn LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn""",
+)
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user or system turn as a call to answer, every assistant turn as the result of the turn before."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    answers, turn = F.col("role") == "assistant", F.col("turn")
+    messages = turns.select(
+        "conv_id",
+        "turn",
+        F.when(answers, "result").otherwise("call").alias("kind"),
+        F.when(answers, turn - 1).otherwise(turn).alias("call_id"),
+        F.col("role").alias("name"),
+        F.when(answers, F.col("text")).otherwise(F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).alias("content"),
+        F.when(turn >= 2, turn - 2).when(turn == 1, 0).alias("after_id"),
+    )
+    linked = chat.link_tool_calls(messages, TURN_SCHEMAS)
+    return linked.withColumn("errors", F.array_join("errors", "; ")).drop("n_calls", "n_results")
