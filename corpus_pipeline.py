@@ -1,12 +1,73 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scorelake.llm import contamination, near, packing, passages, quality
+from scorelake.llm.exchange import scratch
+from scorelake.llm.queries import n_words, page_reviews
 
-STAGES: list = []
+#: No SQL: the classifier, the signatures and the packing can't be expressed; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
+def _pages(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("page_id"), "text")
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts. It learns from the labels that aren't held out."""
+    graded = quality.grade_pages(_pages(docs), page_reviews(spark, sf_dir)).filter("predicted = 1")
+    return docs.join(graded.select(F.col("page_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one whose id names the class."""
+    classes = near.near_duplicates(_pages(docs)).filter("page_id = class_id")
+    return docs.join(classes.select(F.col("page_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that repeat. Untouched texts stay as they are; a document that loses every word goes."""
+    kept = passages.remove_repeated_passages(_pages(docs)).filter("n_removed > 0")
+    cut = kept.select(F.col("page_id").alias("doc_id"), F.col("text").alias("__text"))
+    joined = docs.join(cut, "doc_id", "left").filter("__text is null or __text <> ''")
+    text = F.coalesce("__text", "text")
+    n_chars = F.when(F.col("__text").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long"))
+    return joined.withColumns({"n_chars": n_chars, "text": text}).select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    samples = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("item_id", "sample_id")
+    leaks = contamination.find_leaks(_pages(docs), samples).select(F.col("page_id").alias("doc_id")).distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every document in the training sequences."""
+    sizes = docs.select(F.col("doc_id").alias("score_id"), n_words(F.col("text")).alias("n_tokens"))
+    return packing.pack_sequences(sizes).withColumnRenamed("score_id", "doc_id")
+
+
+STAGES = [
+    ("quality_classifier", drop_low_quality),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        folder = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
