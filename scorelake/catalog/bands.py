@@ -207,13 +207,13 @@ GAPS = "SELECT page_id, system_idx, split_idx AS gap_idx, x AS x_left, x + 1 + C
 @query(
     "soft_gap_lines",
     f"""WITH RECURSIVE g AS ({GAPS.replace('{x}', '{v:gt_xs}')}), r AS (SELECT *, row_number() OVER (PARTITION BY page_id, system_idx ORDER BY x_right - x_left DESC, gap_idx) AS k FROM g),
-q AS (SELECT page_id, system_idx, (x_left + x_right) / 2 AS x, row_number() OVER (PARTITION BY page_id, system_idx ORDER BY (x_left + x_right) / 2, gap_idx) AS k FROM r WHERE k <= 5),
+q AS (SELECT page_id, system_idx, (x_left + x_right) / 2 AS x, row_number() OVER (PARTITION BY page_id, system_idx ORDER BY (x_left + x_right) / 2, gap_idx) AS k FROM r),
 w AS (SELECT page_id, system_idx, k, 0 AS line, x FROM q WHERE k = 1 UNION ALL SELECT q.page_id, q.system_idx, q.k, CASE WHEN q.x - w.x >= 36 THEN line + 1 ELSE line END, CASE WHEN q.x - w.x >= 36 THEN q.x ELSE 0.5 * (w.x + q.x) END
   FROM w JOIN q ON q.page_id = w.page_id AND q.system_idx = w.system_idx AND q.k = w.k + 1)
 SELECT page_id, system_idx, CAST(line AS INT) AS split_idx, round(arg_max(x, k), 6) AS x FROM w GROUP BY page_id, system_idx, line""",
 )
 def q_g8(spark, sf):
-    out = bd.soft_gap_lines(spark.sql(GAPS, x=view(spark, sf, "gt_xs")), max_bars=5, min_gap=60.0)
+    out = bd.soft_gap_lines(spark.sql(GAPS, x=view(spark, sf, "gt_xs")), min_gap=60.0)
     return out.select("page_id", "system_idx", "split_idx", *r6("x"))
 
 

@@ -73,5 +73,5 @@ def on_page(w: Column, h: Column, p: str = "", min_side: float = 4.0) -> dict[st
 def valid(p: str = "") -> Column:
     ok = F.lit(True)
     for s in SIDES:
-        ok = ok & side(p, s).isNotNull() & ~F.isnan(side(p, s))
+        ok = ok & side(p, s).isNotNull() & ~F.isnan(side(p, s)) & (F.abs(side(p, s)) < F.lit(float("inf")))
     return ok

@@ -77,11 +77,12 @@ def tempo_in(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, TEMPO, 1), F.lit("")).cast("double")
 
 
-def title_in(text: Column) -> Column:
-    """Title named by a line (text after the first colon, or the marked line), cut to 80."""
+def title_in(text: Column, longest: int | None = None) -> Column:
+    """Title named by a line (text after the first colon, or the marked line), cut to ``longest`` characters if given."""
+    cut = (lambda v: v) if longest is None else (lambda v: F.substring(v, 1, longest))
     named = strip(F.regexp_replace(text, r"^[^:：]*[:：]", ""))
-    return F.when(text.rlike(r"(?iu)title\s*[:：]"), F.substring(named, 1, 80)).when(
-        text.contains("样例") | text.contains("Sample"), F.substring(text, 1, 80)
+    return F.when(text.rlike(r"(?iu)title\s*[:：]"), cut(named)).when(
+        text.contains("样例") | text.contains("Sample"), cut(text)
     )
 
 
@@ -111,7 +112,7 @@ def is_lyric_line(text: Column) -> Column:
 def normal_key(key: Column) -> Column:
     k = F.replace(F.replace(strip(F.coalesce(key, F.lit(""))), F.lit("♭"), F.lit("b")), F.lit("♯"), F.lit("#"))
     k = F.regexp_replace(k, "^1=", "")
-    return F.concat(F.upper(F.substring(k, 1, 1)), F.substring(k, 2, 1000))
+    return F.concat(F.upper(F.substring(k, 1, 1)), F.substr(k, F.lit(2)))
 
 
 def normal_meter(meter: Column) -> Column:

@@ -157,12 +157,12 @@ def clip_neighbours(
 
 
 def crop_rows(
-    rows: DataFrame, systems: DataFrame, samples: DataFrame, *, page: tuple[int, int] = (384, 512), max_rows: int = 12
+    rows: DataFrame, systems: DataFrame, samples: DataFrame, *, page: tuple[int, int] = (384, 512), max_rows: int | None = None
 ) -> DataFrame:
     """K5: padded crop of each line row and its row box in model space.
 
-    The first ``max_rows`` rows of a sample count (a training-batch limit of the
-    feature), rows without system or area are skipped.
+    With ``max_rows`` only the first rows of a sample count; rows without system or area
+    are skipped.
     """
     head = first_n(rows, "sample_id", "row_idx", max_rows)
     found = resolve_parent(head, systems, ordinal_fallback=False)

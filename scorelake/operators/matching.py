@@ -42,7 +42,8 @@ def box_edges(
     if iou <= 0:
         raise ValueError("the overlap threshold must be above 0")
     cols = list(dict.fromkeys([*keys, "box_idx", "kind", *box.SIDES]))
-    pairs = touching(gt.select(*cols), pred.select(*cols), keys, tile=tile)
+    sound = lambda df: df.select(*cols).where(box.valid())
+    pairs = touching(sound(gt), sound(pred), keys, tile=tile)
     if same_kind is not False:
         named = (F.coalesce("l.kind", F.lit("")) != "") & (F.coalesce("r.kind", F.lit("")) != "")
         rule = F.lit(True) if same_kind is True else same_kind

@@ -168,8 +168,10 @@ def merge_open_measures(measures: DataFrame, *, hot: Hot | None = None) -> DataF
     """the open last measure of a row joined with the open first measure of the next.
 
     Measures carry ``system_idx, measure_idx, closed, segment, measure_source,
-    barline_x_left, barline_x_right, system_x1, confidence``. A row that loses its only
-    measure cannot pass one on, so joins alternate along a chain of one-measure rows.
+    barline_x_left, barline_x_right, system_x1, confidence``. Only rows with consecutive
+    ``system_idx`` are neighbours, so a row without measures parts those beside it. A row
+    that loses its only measure cannot pass one on, so joins alternate along a chain of
+    one-measure rows.
     """
     c = F.col
     keys = PAGE + ["system_idx"]
@@ -183,7 +185,8 @@ def merge_open_measures(measures: DataFrame, *, hot: Hot | None = None) -> DataF
     stub = soft | c("last.measure_source").isin("whole_line", "fallback_gap") | ~(c("last.barline_x_right").isNotNull() & c("last.closed"))
     f_open = (c("nf.measure_source") == "whole_line") | c("nf.barline_x_left").isNull() | (F.abs(c("nf.barline_x_left") - c("nf.system_x1")) < 12)
     f_solid = ~f_open & (c("nf.measure_source") == "l3_barline") & c("nf.barline_x_left").isNotNull() & c("nf.closed")
-    joins = F.coalesce(c("nf").isNotNull() & F.coalesce(is_open, F.lit(True)) & stub & ~F.coalesce(f_solid, F.lit(False)), F.lit(False))
+    beside = c("ns") == c("system_idx") + 1
+    joins = F.coalesce(c("nf").isNotNull() & beside & F.coalesce(is_open, F.lit(True)) & stub & ~F.coalesce(f_solid, F.lit(False)), F.lit(False))
     rows = rows.withColumn("_j", joins)
     rows = ordered(rows, PAGE, ["system_idx"], lags={"_pj": c("_j")}, hot=hot)
     linked = (c("n") == 1) & F.coalesce("_pj", F.lit(False))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions import rhythm
+from scorelake.functions import rhythm, text as tx
 from scorelake.plans.lineage import cut
 from scorelake.plans.skew import FOLD_ROWS, SCAN_ROWS, Hot, measure, ordered, segments, within
 
@@ -39,12 +39,15 @@ def assign_ties(notes: DataFrame, keys: Sequence[str] = ("score_id", "measure_no
 def meter_check(
     measures: DataFrame, notes: DataFrame, meters: DataFrame, *, eps: float = EPS, key: str = "score_id"
 ) -> DataFrame:
-    """beats of each measure against its meter; ``under`` only when it has notes."""
+    """beats of each measure against its meter; ``under`` only when it has notes.
+
+    A score without a meter row counts four beats."""
     total = notes.groupBy(key, "measure_no").agg(
         F.sum(F.when(sounding(), beats()).otherwise(0.0)).alias("_b"), F.count(F.lit(1)).alias("n_notes")
     )
     meter = meters.select(key, rhythm.meter_capacity(F.col("time_signature")).alias("capacity"))
-    out = measures.join(meter, key).join(total, [key, "measure_no"], "left")
+    out = measures.join(meter, key, "left").join(total, [key, "measure_no"], "left")
+    out = out.withColumn("capacity", F.coalesce("capacity", F.lit(4.0)))
     b, n, cap = F.coalesce("_b", F.lit(0.0)), F.coalesce("n_notes", F.lit(0)), F.col("capacity")
     return out.withColumns(
         {
@@ -57,13 +60,15 @@ def meter_check(
 
 def soft_fit(notes: DataFrame, meters: DataFrame, *, eps: float = EPS, key: str = "score_id") -> DataFrame:
     """F8: in overfull measures plain quarters become eighths and, if that is not
-    enough, plain eighths sixteenths; lengths taken from dashes stay."""
+    enough, plain eighths sixteenths; lengths taken from dashes stay. A score without a
+    meter row counts four beats."""
     plain = (F.col("dots") == 0) & F.coalesce("duration_from", F.lit("default")).isin("default", "underline", "meter_fit")
     quarter = plain & (F.col("duration") == "quarter")
     first = F.when(quarter, rhythm.BEATS["eighth"]).otherwise(beats())
     totals = notes.groupBy(key, "measure_no").agg(F.sum(beats()).alias("_t0"), F.sum(first).alias("_t1"))
     meter = meters.select(key, rhythm.meter_capacity(F.col("time_signature")).alias("_cap"))
-    out = notes.join(totals.join(meter, key), [key, "measure_no"])
+    totals = totals.join(meter, key, "left").withColumn("_cap", F.coalesce("_cap", F.lit(4.0)))
+    out = notes.join(totals, [key, "measure_no"])
     over0, over1 = F.col("_t0") > F.col("_cap") + eps, F.col("_t1") > F.col("_cap") + eps
     eighth = plain & F.col("duration").isin("quarter", "eighth")
     new = F.when(over0 & over1 & eighth, "sixteenth").when(over0 & quarter, "eighth").otherwise(F.col("duration"))
@@ -76,10 +81,11 @@ def melody_timeline(
     notes: DataFrame, scores: DataFrame, *, with_accidentals: bool = True, hot: Hot | None = None
 ) -> DataFrame:
     """onset in beats and ms (each note lasts 80 ms at least), MIDI number and pitch
-    in Hz of every note, in order; tempo 80 when none is given."""
+    in Hz of every note, in order; tempo 80 when none is given, and key C without a score row."""
     s = scores.select("score_id", "key", rhythm.beat_ms(F.col("tempo_bpm")).alias("_ms"))
     hot = hot or measure(notes, ["score_id"], SCAN_ROWS)
-    out = notes.join(s, "score_id").withColumn("beats", beats())
+    out = notes.join(s, "score_id", "left").withColumn("beats", beats())
+    out = out.withColumns({"_ms": F.coalesce("_ms", rhythm.beat_ms(F.lit(None).cast("double"))), "key": F.coalesce("key", F.lit("C"))})
     out = out.withColumn("duration_ms", F.greatest(F.lit(80.0), F.col("beats") * F.col("_ms")))
     out = ordered(
         out, ["score_id"], ORDER, sums={"onset_beat": F.col("beats"), "onset_ms": F.col("duration_ms")}, hot=hot
@@ -288,12 +294,14 @@ def align_lyrics(
 
 
 def apply_note_edits(notes: DataFrame, edits: DataFrame) -> DataFrame:
-    """Patch, append and remove notes.
+    """Patch, append and remove notes, and append measures.
 
-    Edits: ``op`` patch / append / remove with ``score_id, measure_no, note_idx,
+    Edits: ``op`` patch / append / remove / measure with ``score_id, measure_no, note_idx,
     edit_idx`` and the fields ``pitch, is_rest, duration, octave`` (null = keep). A rest
     loses its pitch, an un-rested note without pitch becomes 1; removing never empties
-    a measure. The last edit of a note wins.
+    a measure. The last edit of a note wins. Appended notes follow the others of their
+    measure, ``measure`` opens one behind the last with a single note; the notes of every
+    measure are numbered from 0 anew.
     """
     keys = ["score_id", "measure_no", "note_idx"]
     fields = ("pitch", "is_rest", "duration", "octave")
@@ -319,11 +327,59 @@ def apply_note_edits(notes: DataFrame, edits: DataFrame) -> DataFrame:
             "octave": F.coalesce("e.octave", "octave"),
         }
     ).withColumns({"pitch": F.col("_p"), "is_rest": F.col("_r")}).drop("_p", "_r", "e")
-    new = edits.where(F.col("op") == "append").select(
+    last_no = notes.groupBy("score_id").agg(F.max("measure_no").alias("_last"))
+    opened = ordered(edits.where(F.col("op") == "measure"), ["score_id"], ["edit_idx"], number="_k")
+    opened = opened.join(last_no, "score_id", "left").withColumn(
+        "measure_no", (F.coalesce("_last", F.lit(0)) + F.col("_k")).cast(dict(notes.dtypes)["measure_no"])
+    ).drop("_last", "_k")
+    new = edits.where(F.col("op") == "append").unionByName(opened).select(
         *keys, F.coalesce("pitch", F.lit("1")).alias("pitch"), F.lit(False).alias("is_rest"),
         F.coalesce("duration", F.lit("quarter")).alias("duration"), F.coalesce("octave", F.lit(0)).alias("octave"),
+        F.col("edit_idx").alias("_e"),
+    )
+    out = out.withColumn("_e", F.lit(None).cast(dict(edits.dtypes)["edit_idx"])).unionByName(new, allowMissingColumns=True)
+    place = [F.col("_e").isNotNull().alias("_new"), F.coalesce(F.col("_e"), F.col("note_idx"))]
+    out = ordered(out, ["score_id", "measure_no"], place, number="_n")
+    return out.withColumn("note_idx", (F.col("_n") - 1).cast(dict(notes.dtypes)["note_idx"])).drop("_e", "_n")
+
+
+def arbitrate_pitch(notes: DataFrame) -> DataFrame:
+    """Pitch of a note read twice, by text recognition and from its shape.
+
+    Notes carry ``ocr_text, ocr_score, geom_pitch, underlines, dots, octave,
+    sustain_dashes``; ``pitch, is_rest, pitch_from, ocr_text, confidence`` are set. A text
+    that is one clean digit wins from score .45 on, unless the shape says otherwise and
+    the score is below .72; then comes the shape, then any digit or rest in the text.
+    """
+    c = F.col
+    t = F.coalesce(tx.plain(c("ocr_text")), F.lit(""))
+    token = F.regexp_extract(t, r"(?:^|\s)([1-70〇零])(?=\s|$)", 1)
+    inner = F.regexp_extract(t, r"[1-7]", 0)
+    digit = F.when(token.rlike("[1-7]"), token).when((token == "") & (F.length(t) <= 4) & (inner != ""), inner)
+    rest = token.isin("0", "〇", "零") | ((token == "") & t.contains("0") & (inner == ""))
+    clean = t.rlike(r"^[1-70]([._\-·• ]{0,2})$")
+    out = notes.withColumns({"_t": t, "_digit": digit, "_rest": rest, "_clean": clean & digit.isNotNull()})
+    geom, score = F.nullif("geom_pitch", F.lit("")), c("ocr_score")
+    sure = c("_clean") & (score.isNull() | (score >= 0.45))
+    beaten = geom.isNotNull() & (geom != c("_digit")) & (score < 0.72)
+    source = (
+        F.when(sure & F.coalesce(beaten, F.lit(False)), "geometry").when(sure, "ocr").when(geom.isNotNull(), "geometry")
+        .when(c("_digit").isNotNull(), "ocr").when(c("_rest"), "rest").otherwise("none")
     )
-    return out.unionByName(new, allowMissingColumns=True)
+    out = out.withColumn("_from", source)
+    base = F.when(c("_from").isin("ocr", "rest"), 0.78).otherwise(0.55)
+    base = F.when(score != 0, F.least(F.lit(0.92), F.greatest(base, score))).otherwise(base)
+    extra = 0.04 * c("underlines") + 0.03 * c("dots") + 0.03 * F.abs("octave") + 0.02 * c("sustain_dashes")
+    named = F.when((c("_from") == "geometry") & (F.coalesce("ocr_text", F.lit("")) == ""), F.concat(F.lit("geom:"), geom))
+    return out.withColumns(
+        {
+            "pitch": F.when(c("_from") == "geometry", geom).when(c("_from") == "ocr", c("_digit")),
+            "is_rest": c("_from") == "rest",
+            "pitch_from": F.when(c("_from") == "rest", "ocr").otherwise(c("_from")),
+            "confidence": F.least(F.lit(0.95), F.when(c("_from") == "none", 0.35).otherwise(base) + extra),
+            "ocr_text": F.coalesce(named, "ocr_text"),
+        }
+    ).drop("_t", "_digit", "_rest", "_clean", "_from")
 
 
 def _measure_at(n: Column, x: Column, y: Column, w: Column, h: Column, per_line: Column) -> Column:
@@ -351,28 +407,41 @@ def is_large_crop(w: Column, h: Column) -> Column:
     return (area >= 0.40) | ((wf >= 0.65) & (hf >= 0.40)) | ((wf >= 0.85) & (hf >= 0.28))
 
 
-def crop_window(n: Column, w: Column, h: Column) -> tuple[Column, Column]:
-    """0-based [start, end) of the base measures a crop replaces."""
+def with_crop_window(crops: DataFrame, n: Column, w: Column, h: Column) -> DataFrame:
+    """``_start, _end`` (0-based, half open) of the base measures a crop replaces.
+
+    Each step is a column that later steps read several times, so its expression stands
+    in the generated code once.
+    """
     c = F.col
-    line = F.greatest(F.lit(1), F.least(measures_per_line(n, w, h), n))
-    at = lambda x, y: _measure_at(n, x, y, w, h, line)
-    start = at((c("x1") + c("x1") + 1) / 2, (c("y1") + c("y1") + 1) / 2)
-    last = at((F.greatest(c("x1"), c("x2") - 1) + c("x2")) / 2, (F.greatest(c("y1"), c("y2") - 1) + c("y2")) / 2)
-    end = F.least(n, F.greatest(start + 1, last + 1))
+    crops = crops.withColumns({"_n": n, "_w": w, "_h": h})
+    n, w, h = c("_n"), c("_w"), c("_h")
+    crops = crops.withColumn("_line", F.greatest(F.lit(1), F.least(measures_per_line(n, w, h), n)))
+    at = lambda x, y: _measure_at(n, x, y, w, h, c("_line"))
+    crops = crops.withColumns(
+        {
+            "_first": at((c("x1") + c("x1") + 1) / 2, (c("y1") + c("y1") + 1) / 2),
+            "_last": at((F.greatest(c("x1"), c("x2") - 1) + c("x2")) / 2, (F.greatest(c("y1"), c("y2") - 1) + c("y2")) / 2),
+            "_mid": at((c("x1") + c("x2")) / 2, (c("y1") + c("y2")) / 2),
+        }
+    )
+    start, mid = c("_first"), c("_mid")
+    crops = crops.withColumn("_to", F.least(n, F.greatest(start + 1, c("_last") + 1)))
+    end = c("_to")
     unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     area = unit((c("x2") - c("x1")) * (c("y2") - c("y1")) / (w * h))
     wf, hf = unit((c("x2") - c("x1")) / w), unit((c("y2") - c("y1")) / h)
     most = (end - start >= F.greatest(F.lit(1), F.ceil(n * 0.75))) | (
         (area >= 0.28) & (end - start >= F.greatest(F.lit(2), F.floor(n / 2)))
     )
-    tiny = (wf < 0.22) & (hf < 0.22)
-    mid = at((c("x1") + c("x2")) / 2, (c("y1") + c("y2")) / 2)
-    whole = is_large_crop(w, h) | most
+    crops = crops.withColumns({"_tiny": (wf < 0.22) & (hf < 0.22), "_whole": is_large_crop(w, h) | most})
     zero = F.lit(0)
-    return (
-        F.when(n <= 0, zero).when(whole, zero).when(tiny, mid).otherwise(start).cast("int"),
-        F.when(n <= 0, zero).when(whole, n).when(tiny, F.least(n, mid + 1)).otherwise(end).cast("int"),
-    )
+    return crops.withColumns(
+        {
+            "_start": F.when(n <= 0, zero).when(c("_whole"), zero).when(c("_tiny"), mid).otherwise(start).cast("int"),
+            "_end": F.when(n <= 0, zero).when(c("_whole"), n).when(c("_tiny"), F.least(n, mid + 1)).otherwise(end).cast("int"),
+        }
+    ).drop("_n", "_w", "_h", "_line", "_first", "_last", "_mid", "_to", "_tiny", "_whole")
 
 
 def splice_measures(base: DataFrame, patch: DataFrame, crops: DataFrame, *, key: str = "score_id") -> DataFrame:
@@ -390,7 +459,8 @@ def splice_measures(base: DataFrame, patch: DataFrame, crops: DataFrame, *, key:
     h = F.greatest(F.lit(1), F.col("image_height"))
     w = F.when(F.col("image_width") > 0, F.col("image_width")).otherwise(h)
     n = F.col("_nb")
-    start, end = crop_window(n, w, h)
+    win = with_crop_window(win, n, w, h)
+    start, end = F.col("_start"), F.col("_end")
     given = F.col("measure_from").isNotNull() | F.col("measure_to").isNotNull()
     f0 = F.coalesce("measure_from", F.lit(1))
     t0 = F.coalesce("measure_to", f0)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from scorelake.functions import box
 from scorelake.operators.matching import box_metrics
 from scorelake.operators.splits import derive_measures, normalize_splits
-from scorelake.plans.skew import FOLD_ROWS, Hot, measure
+from scorelake.plans.lineage import cut
+from scorelake.plans.skew import FOLD_ROWS, Hot, attach_row, measure
 
-MAX_TRIALS = 10_000
+GRID_PARTS = 4  # parts that rows are dealt to when they meet a grid
 WEIGHTS = {"w_iou": 1.0, "w_cnt": 0.5, "w_fn": 0.35, "w_fp": 0.25}
 
 
@@ -27,9 +28,9 @@ def param_grid(spark: SparkSession, start: float, stop: float, step: float) -> D
     )
 
 
-def linspace_grid(spark: SparkSession, start: float, stop: float, max_trials: int) -> DataFrame:
-    """K3, second form: at most 13 evenly spaced values, rounded to 2 digits."""
-    n = max(1, min(max_trials, 13))
+def linspace_grid(spark: SparkSession, start: float, stop: float, trials: int, *, most: int | None = None) -> DataFrame:
+    """K3, second form: ``trials`` evenly spaced values (at most ``most``), rounded to 2 digits."""
+    n = max(1, trials if most is None else min(trials, most))
     gap = (stop - start) / (n - 1) if n > 1 else 0.0
     return spark.range(n).select(
         (F.col("id") + 1).alias("trial"), F.round(F.lit(start) + F.col("id") * F.lit(gap), 2).alias("value")
@@ -98,12 +99,15 @@ def layer_loss(metrics: DataFrame, **weights: float) -> DataFrame:
     return metrics.withColumn("loss", loss).withColumn("score", F.greatest(F.lit(0.0), 1.0 - F.col("loss")))
 
 
-def _trial_rows(grid: DataFrame) -> list:
-    """The grid is configuration, not data: its counted size is checked."""
-    rows = grid.limit(MAX_TRIALS + 1).collect()
-    if len(rows) > MAX_TRIALS:
-        raise ValueError(f"a sweep takes at most {MAX_TRIALS} trials")
-    return rows
+def _for_trials(df: DataFrame, grid: DataFrame) -> DataFrame:
+    """Every row of ``df`` with every trial of ``grid``: a hash join by a part of the trials.
+
+    Spark broadcasts a grid that is small by its own statistics and shuffles a large one.
+    """
+    part = F.pmod(F.hash("trial"), F.lit(GRID_PARTS))
+    return df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(GRID_PARTS - 1)))).join(
+        grid.withColumn("_part", part), "_part"
+    ).drop("_part")
 
 
 def param_sweep(
@@ -120,21 +124,12 @@ def param_sweep(
 
     ``candidates`` (page_id, system_idx, x, ...) are detected lines, ``systems`` the
     rows, ``truth`` measure boxes (page_id, box_idx, box). ``grid`` carries ``trial,
-    min_gap, min_width``. The few trials are folded into the rows as literals, so a
-    sweep is one plan over (trial, page, row) and needs no join with the grid.
+    min_gap, min_width`` and may have any number of rows.
     """
-    trials = F.array(
-        *[
-            F.struct(
-                F.lit(int(r["trial"])).cast("bigint").alias("trial"),
-                F.lit(float(r["min_gap"])).alias("min_gap"),
-                F.lit(float(r["min_width"])).alias("min_width"),
-            )
-            for r in _trial_rows(grid)
-        ]
-    )
+    grid = grid.select(F.col("trial").cast("bigint").alias("trial"), F.col("min_gap").cast("double").alias("min_gap"),
+                       F.col("min_width").cast("double").alias("min_width"))
     keys = ["trial", "page_id", "system_idx"]
-    spread = lambda df: df.withColumn("t", F.explode(trials)).select("*", "t.*").drop("t")
+    spread = lambda df: _for_trials(df, grid)
     hot = hot or measure(candidates, ["page_id", "system_idx"], FOLD_ROWS)
     rows = spread(systems)
     lines = spread(candidates).drop("min_gap", "min_width")
@@ -142,7 +137,7 @@ def param_sweep(
     boxes = derive_measures(rows, thin, keys, min_width=F.col("min_width"), hot=_over(hot, keys, rows))
     pred = boxes.select(
         "trial", "page_id",
-        (F.col("system_idx").cast("bigint") * 1_000_000 + F.col("measure_idx")).alias("box_idx"),
+        F.struct("system_idx", "measure_idx").alias("box_idx"),
         F.lit("").alias("kind"), *box.SIDES,
     )
     gt = spread(truth).select("trial", "page_id", "box_idx", F.lit("").alias("kind"), *box.SIDES)
@@ -170,12 +165,12 @@ def sweep_summary(losses: DataFrame, *, objective: str = "loss") -> DataFrame:
     )
     sign = 1 if objective == "loss" else -1
     goal = sign * F.col(objective)
-    few = per.groupBy().agg(  # at most MAX_TRIALS rows
-        F.collect_list(F.struct(*per.columns)).alias("r"),
+    per = cut(per)  # one row per trial
+    few = per.agg(
         F.min_by("trial", F.struct(goal.alias("g"), F.col("trial"))).alias("best"),
         F.max(F.when(F.col("trial") == 0, goal)).alias("base"),
     )
-    out = few.select(F.explode("r").alias("r"), "best", "base").select("r.*", "best", "base")
+    out = attach_row(per, few)
     better = goal - F.col("base")
     return out.select(
         *per.columns,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session (tests) may fall back to a temporary folder: on a cluster a
-    machine-local folder would be lost together with its executor.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a session
+    whose executors are threads of its own process (``local[n]``: tests, the bench)
+    may set a temporary folder where none is named: on a cluster, a machine-local
+    folder would be lost together with its machine.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="scorelake-checkpoint-")
         sc.setCheckpointDir(folder)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WIDE = 64  # tiles along one side from which a box is not cut into tiles
 LEVELS = 6  # nearest search: tile sizes tile * 4**level, then the whole key
 STEP = 4
 
@@ -26,27 +27,40 @@ def touching(
 ) -> DataFrame:
     """Pairs (``l``, ``r``) of boxes that meet once the left box is padded by ``pad``.
 
-    Each pair comes out once: only in the tile of the common corner.
+    Each pair comes out once: only in the tile of the common corner. A box of more than
+    ``WIDE`` tiles along a side (most of what a page holds touches it) is met by its key
+    instead: level 1 holds the wide left boxes, level 2 the wide right ones.
     """
     keys = list(keys)
     l = left.select(*keys, F.struct(*left.columns).alias("l"))
     r = right.select(*keys, F.struct(*right.columns).alias("r"))
     lx, ly = F.col("l.x1") - pad, F.col("l.y1") - pad
-    l = l.withColumn("_tx", F.explode(_span(lx, F.col("l.x2") + pad, tile)))
-    l = l.withColumn("_ty", F.explode(_span(ly, F.col("l.y2") + pad, tile)))
-    r = r.withColumn("_tx", F.explode(_span(F.col("r.x1"), F.col("r.x2"), tile)))
-    r = r.withColumn("_ty", F.explode(_span(F.col("r.y1"), F.col("r.y2"), tile)))
+    cell = lambda lv, x=None, y=None: F.struct(
+        F.lit(lv).alias("_lv"), (F.lit(0).cast("bigint") if x is None else x).alias("_tx"),
+        (F.lit(0).cast("bigint") if y is None else y).alias("_ty"),
+    )
+
+    def tiled(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, wide_in: list[int], small_in: int) -> DataFrame:
+        wide = (x2 - x1 > WIDE * tile) | (y2 - y1 > WIDE * tile)
+        grid = F.flatten(F.transform(_span(x1, x2, tile), lambda x: F.transform(_span(y1, y2, tile), lambda y: cell(0, x, y))))
+        cells = F.when(wide, F.array(*[cell(lv) for lv in wide_in])).otherwise(F.concat(grid, F.array(cell(small_in))))
+        return df.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c")
+
+    l = tiled(l, lx, ly, F.col("l.x2") + pad, F.col("l.y2") + pad, [1], 2)
+    r = tiled(r, F.col("r.x1"), F.col("r.y1"), F.col("r.x2"), F.col("r.y2"), [1, 2], 1)
+    corner = (F.col("_tx") == F.floor(F.greatest(lx, F.col("r.x1")) / tile)) & (
+        F.col("_ty") == F.floor(F.greatest(ly, F.col("r.y1")) / tile)
+    )
     return (
-        l.join(r, keys + ["_tx", "_ty"])
+        l.join(r, keys + ["_lv", "_tx", "_ty"])
         .where(
             (lx <= F.col("r.x2"))
             & (F.col("r.x1") <= F.col("l.x2") + pad)
             & (ly <= F.col("r.y2"))
             & (F.col("r.y1") <= F.col("l.y2") + pad)
-            & (F.col("_tx") == F.floor(F.greatest(lx, F.col("r.x1")) / tile))
-            & (F.col("_ty") == F.floor(F.greatest(ly, F.col("r.y1")) / tile))
+            & ((F.col("_lv") > 0) | corner)
         )
-        .drop("_tx", "_ty")
+        .drop("_lv", "_tx", "_ty")
     )
 
 

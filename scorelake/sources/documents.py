@@ -276,7 +276,7 @@ def key_of(text: Column) -> Column:
     any_ = F.regexp_extract(t, r"([A-Ga-g][b#]?)", 1)
     k = F.when(solfa != "", solfa).otherwise(any_)
     k = F.replace(F.replace(k, F.lit("♭"), F.lit("b")), F.lit("♯"), F.lit("#"))
-    return F.when(k == "", "C").otherwise(F.concat(F.upper(F.substring(k, 1, 1)), F.substring(k, 2, 8)))
+    return F.when(k == "", "C").otherwise(F.concat(F.upper(F.substring(k, 1, 1)), F.substr(k, F.lit(2))))
 
 
 def digital_scores(docs: DataFrame) -> dict[str, DataFrame]:

@@ -108,7 +108,7 @@ def test_problems(spark):
     assert [(r.seq, r.kind) for r in got] == [
         (1, "meter_under"), (2, "geometry_pitch"), (3, "low_confidence"), (4, "empty_measure"), (5, "layout_pollution")
     ]
-    assert got[0].message == "小节 1 时值不足（2.0/4.0 拍）" and got[2].message == "小节 1 音 1：低置信度 0.40（1）"
+    assert got[0].message == "measure 1 is too short: 2.0/4.0 beats" and got[2].message == "note 1 of measure 1 [1] was read with confidence 0.40"
 
 
 def test_splice_keeps_hand_edits(spark):
@@ -124,7 +124,7 @@ def test_loss_and_grids(spark):
     assert tuning.layer_loss(m.box_metrics(gt, gt)).first().loss == pytest.approx(0.0)
     grid = [r.value for r in tuning.param_grid(spark, 64, 16, 8).orderBy("trial").collect()]
     assert grid == [16.0, 24.0, 32.0, 40.0, 48.0, 56.0, 64.0]
-    assert tuning.linspace_grid(spark, 16, 64, 40).count() == 13
+    assert tuning.linspace_grid(spark, 16, 64, 40).count() == 40 and tuning.linspace_grid(spark, 16, 64, 40, most=13).count() == 13
     space = {"a": {"type": "float", "low": 1, "high": 2}, "b": {"type": "int", "low": 3, "high": 5}, "c": {"type": "bool"}}
     one, two = (sorted(map(str, tuning.sample_params(spark, space, 20, 42, {"a": 9.0}).collect())) for _ in range(2))
     assert one == two and len(one) == 20
