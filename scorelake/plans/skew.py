@@ -20,7 +20,8 @@ from scorelake.plans.lineage import cut
 
 SCAN_ROWS = 1_000_000  # rows of one key that one window task may take
 FOLD_ROWS = 2_048  # rows of one key that one array fold may take
-SEGMENTS = 512  # segments a hot key is cut into
+SEGMENTS = 512  # segments a hot key is cut into; a power of two
+SAMPLE = 16  # sampled rows of a hot key for each segment
 BROADCAST_KEYS = 10_000  # hot-key lists up to this counted size are broadcast
 
 
@@ -78,27 +79,31 @@ def _columns(order: Sequence[str | Column]) -> list[Column]:
 def segments(df: DataFrame, hot: Hot, order: Sequence[str | Column]) -> DataFrame:
     """Add ``_seg``: 0 for ordinary keys, an ordered segment number for hot ones.
 
-    Cut points are mergeable quantile sketches of the first (numeric) order
-    column, taken over hot keys only, so every segment is a contiguous range of
-    the order. Any cut points give the right result; they only balance the tasks.
+    Cut points are values of the whole order key (of any types), taken from a sample by
+    hash of about ``SAMPLE`` rows per segment of each hot key, so every segment is a
+    contiguous range of the order, also where its first columns hardly vary. Any cut
+    points give the right result; they only balance the tasks.
     """
     keys = list(hot.keys)
-    first = _columns(order)[0].cast("double")
-    cuts = cut(
-        df.join(small(hot.table, hot.n), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx(
-                first, [i / SEGMENTS for i in range(1, SEGMENTS)], 20 * SEGMENTS
-            ).alias("_cuts")
-        )
+    by = [c.alias(f"o{i}") for i, c in enumerate(_columns(order))]
+    hot_rows = df.join(small(hot.table, hot.n), keys, "left_semi").select(*keys, F.struct(*by).alias("_o"))
+    counts = hot_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    share = F.lit(float(SEGMENTS * SAMPLE)) / F.col("_rows")
+    taken = F.pmod(F.xxhash64("_o"), F.lit(1 << 30)) < share * (1 << 30)
+    sample = hot_rows.join(small(counts, hot.n), keys).where(taken).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_o")).alias("_s")  # about SEGMENTS * SAMPLE rows
+    )
+    step = F.size("_s") / F.lit(float(SEGMENTS))
+    pick = lambda i: F.get("_s", F.floor(i * step).cast("int"))
+    cuts = cut(sample.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(SEGMENTS - 1)), pick).alias("_cuts")))
+    own = F.struct(*by)
+    halves = F.array(*[F.lit(SEGMENTS >> k) for k in range(1, SEGMENTS.bit_length())])
+    below = F.aggregate(  # binary search: how many cut points lie at or before the row
+        halves, F.lit(0), lambda at, h: at + F.when(F.get("_cuts", at + h - 1) <= own, h).otherwise(0)
     )
     return (
         df.join(small(cuts, hot.n), keys, "left")
-        .withColumn(
-            "_seg",
-            F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= first)), F.lit(0)),
-        )
+        .withColumn("_seg", F.when(F.col("_cuts").isNull(), 0).otherwise(below))
         .drop("_cuts")
         .repartition(*keys, "_seg")
     )

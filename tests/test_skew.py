@@ -199,3 +199,63 @@ def test_tiles(spark):
     best = near(pts, R, ["page_id"], tile=16.0).groupBy(F.col("l.i").alias("i")).agg(F.min(dx + dy).alias("d"))
     edge = lambda a, b: max(0, b[2] - a[2], a[2] - b[4]) + max(0, b[3] - a[3], a[3] - b[5])
     assert rows(best) == sorted((a[1], float(min(edge(a, b) for b in right))) for a in left)
+
+
+@pytest.mark.parametrize("first", ["constant", "text"])
+def test_segments_cut_the_whole_order_key(spark, first):
+    """A hot key whose first order column is constant or a text still falls into many even segments."""
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(100).alias("k"),
+        (F.lit(1) if first == "constant" else F.concat(F.lit("t"), (F.col("id") % 3).cast("string"))).alias("a"), F.col("id").alias("i"),
+    )
+    hot = skew.measure(df, ["k"], 5_000)
+    assert hot.n == 1
+    sizes = [r["count"] for r in skew.segments(df, hot, ["a", "i"]).where("k = 100").groupBy("_seg").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 54_000 / 50
+    plain = skew.Hot(("k",), 10**9)
+    how = dict(number="n", sums={"s": F.col("i")}, lags={"p": F.col("i")})
+    assert rows(skew.ordered(df, ["k"], ["a", "i"], hot=hot, **how)) == rows(skew.ordered(df, ["k"], ["a", "i"], hot=plain, **how))
+
+
+def test_wide_boxes_meet_by_key(spark):
+    """A page-wide box and one of 10**7 pixels give the same pairs as a plain comparison, and no tiles without end."""
+    r = random.Random(12)
+    make = lambda n: [(k, i, x, y, x + r.choice([5.0, 40.0, 3000.0]), y + r.choice([5.0, 200.0])) for k in (1, 2) for i in range(n)
+                      for x, y in [(r.uniform(0, 4000), r.uniform(0, 3000))]]
+    left, right = make(30) + [(1, 99, 0.0, 0.0, 1e7, 1e7)], make(30) + [(2, 98, -1e7, 0.0, 1e7, 50.0), (1, 97, 0.0, 0.0, 1e7, 1e7)]
+    schema = "k int, i int, x1 double, y1 double, x2 double, y2 double"
+    got = touching(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"], tile=16.0, pad=2.0)
+    want = sorted((a[0], a[1], b[1]) for a in left for b in right
+                  if a[0] == b[0] and a[2] - 2 <= b[4] and b[2] <= a[4] + 2 and a[3] - 2 <= b[5] and b[3] <= a[5] + 2)
+    assert sorted((x.k, x.l.i, x.r.i) for x in got.collect()) == want
+
+
+def test_infinite_boxes_are_left_out(spark):
+    df = spark.createDataFrame([("p", "L2", 0, 0.0, 0.0, float("inf"), 9.0), ("p", "L2", 1, 0.0, 0.0, 9.0, 9.0)],
+                               "sample_id string, layer string, box_idx int, x1 double, y1 double, x2 double, y2 double").withColumn("kind", F.lit(""))
+    assert [(x.gt_idx, x.pred_idx) for x in matching.match_boxes(df, df).collect()] == [(1, 1)]
+
+
+def test_rows_without_measures_part_their_neighbours(spark):
+    row = lambda s: ("p", s, 0, False, "open_trailing", "whole_line", None, None, 0.0, 0.7)
+    schema = ("page_id string, system_idx int, measure_idx int, closed boolean, segment string, measure_source string, "
+              "barline_x_left double, barline_x_right double, system_x1 double, confidence double")
+    got = rerun.merge_open_measures(spark.createDataFrame([row(0), row(2), row(3)], schema)).collect()
+    assert sorted((x.system_idx, x.cross_line) for x in got) == [(0, False), (2, True)]
+
+
+def test_no_default_drops_rows(spark):
+    from scorelake.operators import problems
+
+    schema = "score_id string, measure_no int, source string, status string, beats double, capacity double"
+    measures = spark.createDataFrame([("s", 1, "layout", "ok", 4.0, 4.0)], schema)
+    notes = spark.createDataFrame([("s", 1, 0, "1", False, 0.9, None, "ocr", None)], "score_id string, measure_no int, note_idx int, "
+                                  "pitch string, is_rest boolean, confidence double, ocr_score double, pitch_from string, note_source string")
+    regions = spark.createDataFrame([("s", i, "title", f"{i} " + "x" * 100) for i in range(40)], "score_id string, item_idx int, kind string, text string")
+    warnings = spark.createDataFrame([("s", i, "fine" if i < 20 else "L2 failed " + "y" * 300) for i in range(40)], "score_id string, warn_idx int, text string")
+    scores_ = spark.createDataFrame([("s",)], "score_id string")
+    got = problems.collect_problems(scores_, measures, notes, regions, warnings).collect()
+    assert sum(r.kind == "layout_pollution" for r in got) == 40 and sum(r.kind == "other" for r in got) == 20
+    assert max(len(r.message) for r in got) > 300
+    capped = problems.collect_problems(scores_, measures, notes, regions, warnings, max_polluted=12, max_warnings=8).collect()
+    assert len(capped) == 12
