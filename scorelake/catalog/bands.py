@@ -251,10 +251,27 @@ def q_d21m(spark, sf):
 OPEN = """SELECT page_id, system_idx, CAST(i AS INT) AS measure_idx, (page_id + system_idx) % 4 <> 0 AS closed, CASE WHEN (page_id + system_idx) % 4 = 0 THEN 'open_trailing' ELSE 'x' END AS segment,
   CASE WHEN (page_id + i) % 3 = 0 THEN 'whole_line' ELSE 'l3_barline' END AS measure_source, CASE WHEN (page_id + i) % 5 = 0 THEN NULL ELSE CAST(30 * i AS DOUBLE) END AS barline_x_left,
   CAST(100 + i AS DOUBLE) AS barline_x_right, CAST(0 AS DOUBLE) AS system_x1, CAST(0.75 AS DOUBLE) AS confidence
-  FROM {s} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE i = 0 OR (page_id + system_idx) % 3 <> 0"""
+  FROM {s} CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE (i = 0 OR (page_id + system_idx) % 3 <> 0) AND (page_id + system_idx) % 11 <> 5"""
 
 
-@query("merge_open_measures")
+@query(
+    "merge_open_measures",
+    f"""WITH RECURSIVE o AS ({OPEN.replace('{s}', '{v:systems}')}),
+r AS (SELECT page_id, system_idx, count(*) AS n, arg_min({{'i': measure_idx, 'closed': closed, 'src': measure_source, 'bl': barline_x_left, 'x1': system_x1, 'conf': confidence}}, measure_idx) AS f,
+  arg_max({{'i': measure_idx, 'closed': closed, 'seg': segment, 'src': measure_source, 'br': barline_x_right}}, measure_idx) AS l FROM o GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER p AS k, lead(system_idx) OVER p AS ns, lead(f) OVER p AS nf FROM r WINDOW p AS (PARTITION BY page_id ORDER BY system_idx)),
+c AS (SELECT *, coalesce(ns = system_idx + 1, false)
+  AND (NOT l.closed OR l.br IS NULL OR l.seg = 'open_trailing')
+  AND (l.seg = 'open_trailing' OR l.src IN ('whole_line', 'fallback_gap') OR NOT (l.br IS NOT NULL AND l.closed))
+  AND NOT (NOT (nf.src = 'whole_line' OR nf.bl IS NULL OR abs(nf.bl - nf.x1) < 12) AND nf.src = 'l3_barline' AND nf.bl IS NOT NULL AND nf.closed) AS j FROM q),
+w AS (SELECT page_id, system_idx, k, ns, nf, l, j AS t FROM c WHERE k = 1
+  UNION ALL SELECT c.page_id, c.system_idx, c.k, c.ns, c.nf, c.l, c.j AND NOT (c.n = 1 AND w.t) FROM w JOIN c ON c.page_id = w.page_id AND c.k = w.k + 1),
+m AS (SELECT o.*, t.nf, t.ns FROM o LEFT JOIN (SELECT * FROM w WHERE t) t ON t.page_id = o.page_id AND t.system_idx = o.system_idx AND t.l.i = o.measure_idx
+  WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.t AND w.page_id = o.page_id AND w.ns = o.system_idx AND w.nf.i = o.measure_idx))
+SELECT page_id, system_idx, CAST(row_number() OVER (PARTITION BY page_id, system_idx ORDER BY measure_idx) - 1 AS INT) AS measure_idx,
+  CASE WHEN ns IS NULL THEN closed ELSE coalesce(nf.closed, true) END AS closed, CASE WHEN ns IS NULL THEN measure_source ELSE 'cross_line' END AS measure_source,
+  ns IS NOT NULL AS cross_line, ns AS joined_system, CASE WHEN ns IS NULL THEN confidence ELSE least(confidence, nf.conf, 0.55) END AS confidence FROM m""",
+)
 def q_f12(spark, sf):
     out = rr.merge_open_measures(spark.sql(OPEN, s=view(spark, sf, "systems")))
     return out.select("page_id", "system_idx", "measure_idx", "closed", "measure_source", "cross_line", "joined_system", "confidence")

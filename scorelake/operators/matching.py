@@ -25,11 +25,6 @@ def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"precision": p, "recall": r, "f1": f1}
 
 
-def measure_ends(gt: DataFrame, pred: DataFrame, keys: Sequence[str]) -> Hot:
-    ends = gt.select(*keys).unionByName(pred.select(*keys))
-    return measure(ends, keys, FOLD_ROWS)
-
-
 def box_edges(
     gt: DataFrame,
     pred: DataFrame,
@@ -67,7 +62,6 @@ def match_boxes(
     hot: Hot | None = None,
 ) -> DataFrame:
     """Greedy one-to-one pairs by falling overlap, ties by truth then prediction index."""
-    hot = hot or measure_ends(gt, pred, keys)
     edges = box_edges(gt, pred, keys, iou, same_kind, tile).withColumn("_o", -F.col("w"))
     pairs = greedy_pairs(edges, keys, ["_o", "gi", "pi"], hot)
     return pairs.withColumnsRenamed({"gi": "gt_idx", "pi": "pred_idx", "w": "iou"})
@@ -272,7 +266,6 @@ def mean_best_iou(
 ) -> DataFrame:
     """D3: each truth box in order takes its best free prediction; mean over truth boxes."""
     keys = list(keys)
-    hot = hot or measure_ends(gt, pred, keys)
     tiny = 5e-324  # any overlap above zero
     edges = box_edges(gt, pred, keys, tiny, False, tile).withColumn("_o", -F.col("w"))
     pairs = greedy_pairs(edges, keys, ["gi", "_o", "pi"], hot)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.plans.lineage import cut
-from scorelake.plans.skew import Hot
+from scorelake.plans.skew import FOLD_ROWS, Hot, measure
 
 
 def _fold(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -59,9 +59,16 @@ def _rounds(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return out.withColumn("w", F.col("w").cast("double"))
 
 
-def greedy_pairs(edges: DataFrame, keys: Sequence[str], order: Sequence[str], hot: Hot) -> DataFrame:
-    """Pairs (gi, pi, w) taken from ``edges`` in ``order``; ``hot`` measured on the ends."""
+def greedy_pairs(edges: DataFrame, keys: Sequence[str], order: Sequence[str], hot: Hot | None = None) -> DataFrame:
+    """Pairs (gi, pi, w) taken from ``edges`` in ``order``.
+
+    What one task folds is a key's edges, so these are counted: a few ends on one spot
+    can have very many. The edges are written once, for the count and the fold.
+    """
     keys, order = list(keys), list(order)
+    if hot is None:
+        edges = cut(edges)
+        hot = measure(edges, keys, FOLD_ROWS)
     if hot.table is None:
         return _fold(edges, keys, order)
     edges = hot.tag(edges)
