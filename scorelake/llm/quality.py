@@ -216,17 +216,33 @@ def _calibrated(model: QualityModel, rows: DataFrame) -> QualityModel:
     for row in rows.mapInArrow(binned, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         count[row.bin] = row.n
     bad, good = count.reshape(2, BINS)
-    x = np.stack([(np.arange(BINS) + 0.5) * width - SPREAD, np.ones(BINS)], axis=1)
-    w = np.array([1.0, 0.0])
-    ridge = np.diag([1.0, 0.01])
-    for _ in range(50):  # Newton steps on the log likelihood, held near slope 1
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (good - (good + bad) * p) - ridge @ (w - [1.0, 0.0])
+    slope, shift = logistic_curve((np.arange(BINS) + 0.5) * width - SPREAD, good, bad)
+    return QualityModel(model.mean, model.whiten, model.offset, slope, shift)
+
+
+def logistic_curve(at: np.ndarray, good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that fits the counts best, held near slope 1.
+
+    Newton steps on the penalised log likelihood, which is concave; a step is halved until it gains.
+    """
+    x = np.stack([at, np.ones(len(at))], axis=1)
+    ridge, prior = np.diag([1.0, 0.01]), np.array([1.0, 0.0])
+
+    def likelihood(w: np.ndarray) -> float:
+        z = x @ w
+        return -(good * np.logaddexp(0, -z) + bad * np.logaddexp(0, z)).sum() - 0.5 * (w - prior) @ ridge @ (w - prior)
+
+    w = prior
+    for _ in range(100):
+        p = np.exp(-np.logaddexp(0, -(x @ w)))
+        gradient = x.T @ (good - (good + bad) * p) - ridge @ (w - prior)
         step = np.linalg.solve(x.T @ (x * ((good + bad) * p * (1 - p))[:, None]) + ridge, gradient)
-        w = w + np.clip(step, -1, 1)
+        while likelihood(w + step) < likelihood(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return QualityModel(model.mean, model.whiten, model.offset, float(max(w[0], 1e-3)), float(w[1]))
+    return float(max(w[0], 1e-3)), float(w[1])
 
 
 def score_pages(stats: DataFrame, model: QualityModel, threshold: float = 0.3, page_col: str = "page_id") -> DataFrame:

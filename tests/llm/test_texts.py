@@ -97,6 +97,16 @@ def test_chunks_of_one_text(spark, monkeypatch):
     assert sorted(got) == slow_passages(rows, 20)
 
 
+@pytest.mark.parametrize("chunk", [1, 4000])
+def test_overlaps_with_hot_pieces(spark, monkeypatch, chunk):
+    """Windows around frequent pieces are dealt out one by one; the result stays the same."""
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(overlaps, "HOT_STRINGS", 3)
+    rows = invented(40, 11)
+    got = [(r.page_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in overlaps.remove_overlaps(pages(spark, rows)).collect()]
+    assert sorted(got) == slow_overlaps(rows, 50)
+
+
 def test_cover_holds_all_differences():
     for period, cover in passages.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
@@ -201,6 +211,18 @@ def test_quality_edges(spark):
     assert quality.grade_pages(pages(spark, []), one).collect() == []
 
 
+def test_logistic_curve_survives_outliers():
+    """Classes that lie far apart, and some accepted pages among the rejected ones."""
+    at = np.arange(-60, 60, 0.25) + 0.125
+    good, bad = np.zeros(len(at)), np.zeros(len(at))
+    good[at > 11], bad[0], good[0] = 70, 2234, 5
+    slope, shift = quality.logistic_curve(at, good, bad)
+    score = 1 / (1 + np.exp(-(slope * at + shift)))
+    assert score[0] < 0.1 and score[at > 12].min() > 0.9
+    flat = quality.logistic_curve(at, np.zeros(len(at)), np.zeros(len(at)))
+    assert flat == pytest.approx((1.0, 0.0))
+
+
 def test_statistics_do_not_hang_on_neighbours():
     texts = [t or "" for _, t in invented(20)]
     joined = np.frombuffer("".join(texts).encode(), np.uint8)
