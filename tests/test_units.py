@@ -175,3 +175,24 @@ def test_open_measures_join_once(spark):
     got = sorted((r.system_idx, r.measure_idx, r.cross_line) for r in rerun.merge_open_measures(df).collect())
     # row 1 gives its only measure to row 0, so it has none to take from row 2
     assert got == [(0, 0, False), (0, 1, True), (2, 0, False), (2, 1, False)]
+
+
+def test_scores_from_items(spark):
+    """Staff gate, both fallbacks, meta before all lines, lyrics, and a page without digits."""
+    box = lambda page, i, text, y: (page, i, text, 0.9, 10.0, float(y), 400.0, float(y + 20))
+    rows = [
+        box("a", 0, "Title: Song 12", 0), box("a", 1, "1=D 3/4", 60), box("a", 2, "1 2 3 | 4 5 6 |", 300), box("a", 3, "春天来了啊啊", 340),
+        box("a", 4, "7 1 2", 380), box("a", 5, "Page 1", 990),
+        ("b", 0, "note 5", 0.9, None, None, None, None), ("b", 1, "x 6", 0.9, None, None, None, None),
+        ("c", 0, "no digits here", 0.9, None, None, None, None), ("c", 1, "", 0.9, None, None, None, None), ("c", 2, None, 0.9, None, None, None, None),
+    ]
+    items = spark.createDataFrame(rows, "page_id string, item_idx int, text string, score double, x1 double, y1 double, x2 double, y2 double")
+    got = textlines.scores_from_items(items)
+    pages = {r.page_id: r for r in got["pages"].collect()}
+    assert {p: r.mode for p, r in pages.items()} == {"a": "score", "b": "score", "c": "ocr_only"}
+    assert (pages["a"].key, pages["a"].time_signature, pages["a"].title) == ("D", "3/4", "Song 12")
+    notes = sorted(tuple(r) for r in got["notes"].select("page_id", "measure_no", "note_idx", "pitch", "lyric").collect())
+    a = [n for n in notes if n[0] == "a"]
+    assert [(n[1], n[2], n[3]) for n in a] == [(m, i, p) for m, bar in enumerate(["123", "456", "712"], 1) for i, p in enumerate(bar)]
+    assert [n[4] for n in a] == [*"春天来了啊啊", None, None, None]
+    assert [n[3] for n in notes if n[0] == "b"] == ["5", "6"]
