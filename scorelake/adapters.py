@@ -63,9 +63,10 @@ SELECT user_id AS page_id, CAST(day(ts) % 4 AS INT) AS system_idx, event_id AS s
 FROM {events} WHERE event_id % 9 <> 0""",
     # token sequences per sample
     "gt_tokens": """
-SELECT user_id AS sample_id, event_id AS pos, event_type AS token FROM {events} WHERE day(ts) <= 15""",
+SELECT user_id AS sample_id, event_id AS pos, event_type AS token FROM {events}""",
     "pred_tokens": """
-SELECT user_id AS sample_id, event_id AS pos, event_type AS token FROM {events} WHERE day(ts) > 15""",
+SELECT user_id AS sample_id, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN 'view' ELSE event_type END AS token
+FROM {events} WHERE event_id % 9 <> 0""",
     # notes of a score; order of notes = note_idx
     "score_notes": f"""
 SELECT l_orderkey AS score_id, CAST(1 + l_linenumber % 3 AS INT) AS measure_no, {_IDX} AS note_idx,

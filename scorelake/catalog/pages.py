@@ -202,7 +202,7 @@ def q_f1(spark, sf):
 
 
 BARS = """SELECT page_id, CAST(item_idx % 3 AS INT) AS system, item_idx AS line_idx, x1 AS x, '' AS id, 'detect' AS source,
-  CAST(0.5 AS DOUBLE) AS confidence FROM {i} WHERE layer = 'L5' AND page_id % 16 = 0"""
+  CAST(0.5 AS DOUBLE) AS confidence FROM {i} WHERE layer = 'L5'"""
 
 
 @query("rebuild_pages")
@@ -309,7 +309,7 @@ def q_f4b(spark, sf):
     from scorelake.operators.exports import export_layouts
 
     items = view(spark, sf, "items")
-    out = export_layouts(items, spark.sql(BARS.replace(" AND page_id % 16 = 0", ""), i=items))
+    out = export_layouts(items, spark.sql(BARS, i=items))
     tall = lambda name, *cols: out[name].select(
         "page_id", F.lit(name).alias("part"), F.concat_ws("/", *[F.col(c).cast("string") for c in cols]).alias("path")
     )
