@@ -300,3 +300,17 @@ def q_f10(spark, sf):
     out = rr.layout_slots(m, rows, pages)
     r5 = [F.round(c, 5).alias(c) for c in ("x1", "x2")]
     return out.select("page_id", "measure_idx", "row_no", *r5)
+
+
+SHAPE_BANDS = "SELECT DISTINCT page_id, CAST(page_id % 700 AS DOUBLE) AS pitch_y0, CAST(page_id % 700 + 300 AS DOUBLE) AS pitch_y1 FROM {i}"
+
+
+@query(
+    "note_shapes",
+    f"""WITH b AS ({SHAPE_BANDS.replace('{i}', '{v:items}')})
+SELECT i.page_id, item_idx FROM {{v:items}} i JOIN b ON b.page_id = i.page_id
+WHERE x2 - x1 >= 4 AND y2 - y1 >= 6 AND abs((y1 + y2) / 2 - (pitch_y0 + pitch_y1) * 0.5) <= greatest(pitch_y1 - pitch_y0, 1) * 0.55""",
+)
+def q_c9(spark, sf):
+    items = view(spark, sf, "items")
+    return bd.note_shapes(items, spark.sql(SHAPE_BANDS, i=items), ["page_id"]).select("page_id", "item_idx")

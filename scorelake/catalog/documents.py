@@ -192,3 +192,32 @@ SELECT pos, id FROM s WHERE k <= 100 AND status = 'ready'""",
 def q_a1(spark, sf):
     m = _docs(spark, sf, "documents", MANIFEST).withColumns({"manifest": F.lit("m"), "gt": F.col("id")})
     return inp.select_entries(m, subset="en", limit=100).select("pos", "id")
+
+
+@query(
+    "select_all_entries",
+    f"""WITH m AS ({MANIFEST.replace('{documents}', 'documents')}) SELECT pos, id FROM m WHERE status = 'ready'""",
+)
+def q_a1_all(spark, sf):
+    m = _docs(spark, sf, "documents", MANIFEST).withColumns({"manifest": F.lit("m"), "gt": F.col("id")})
+    return inp.select_entries(m).select("pos", "id")
+
+
+@query(
+    "missing_files",
+    f"""WITH m AS ({MANIFEST.replace('{documents}', 'documents')})
+SELECT id AS sample_id, concat('gt missing: gt/', id) AS error FROM m WHERE pos NOT IN (SELECT doc_id FROM labels)""",
+)
+def q_a1_missing(spark, sf):
+    m = _docs(spark, sf, "documents", MANIFEST).withColumn("gt", F.concat(F.lit("gt/"), "id"))
+    files = spark.read.parquet(f"{sf}/labels.parquet").select(F.concat(F.lit("gt/E"), F.col("doc_id").cast("string")).alias("path"))
+    return inp.missing_files(m, files)
+
+
+@query(
+    "last_epochs",
+    """SELECT layer AS run, count(*) AS epochs, max(trial) AS epoch, arg_max(loss, trial) AS train_loss FROM {v:trials} GROUP BY layer""",
+)
+def q_a9(spark, sf):
+    history = view(spark, sf, "trials").select(F.col("layer").alias("run"), F.col("trial").alias("epoch"), F.col("loss").alias("train_loss"))
+    return inp.last_epochs(history)

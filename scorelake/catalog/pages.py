@@ -334,7 +334,7 @@ def _overlay(spark, sf):
     "overlay_items",
     f"""WITH m AS ({OV_M.replace('{m}', '{v:score_measures}')}), n AS ({OV_N.replace('{n}', '{v:score_notes}')})
 SELECT page_id, 'L1' AS layer, concat('l1-', kind) AS id, kind AS label, NULL AS pitch FROM {{v:items}} WHERE layer = 'L1'
-UNION ALL SELECT page_id, 'L2', concat('l2-sys', system_idx), concat('谱行 ', system_idx + 1), NULL FROM {{v:systems}}
+UNION ALL SELECT page_id, 'L2', concat('l2-sys', system_idx), concat('row ', system_idx + 1), NULL FROM {{v:systems}}
 UNION ALL SELECT page_id, 'L3', concat('l3-m', global_no), concat('m', global_no, CASE WHEN measure_source = 'l3_split' THEN '' ELSE '/' || measure_source END), NULL FROM m
 UNION ALL SELECT page_id, 'L4', concat('l4-m', global_no, '-', kind, note_idx), concat(CASE WHEN kind = 'pitch' THEN 'n' ELSE 'c' END, note_idx + 1), NULL FROM n
 UNION ALL SELECT page_id, 'L5', concat('l5-m', global_no, '-n', note_idx), CASE WHEN duration IS NULL THEN '?' ELSE concat(coalesce(pitch, CASE WHEN is_rest THEN '0' ELSE '?' END),
@@ -362,3 +362,8 @@ def q_a4b(spark, sf):
 )
 def q_f17c(spark, sf):
     return pg.recognition_facts(_overlay(spark, sf)[3]).select("page_id", "measure_idx", "note_idx", "text", "kind", "score")
+
+
+@query("clear_below", "SELECT page_id, item_idx, layer FROM {v:items} WHERE layer IN ('L1', 'L2', 'L3')")
+def q_f19_clear(spark, sf):
+    return pg.clear_below(view(spark, sf, "items"), "L3").select("page_id", "item_idx", "layer")

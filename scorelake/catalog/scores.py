@@ -337,3 +337,17 @@ SELECT score_id, note_idx, CASE src WHEN 'geometry' THEN geom_pitch WHEN 'ocr' T
 def q_arbitrate(spark, sf):
     out = sc.arbitrate_pitch(spark.sql(ARBITRATE, n=view(spark, sf, "score_notes")))
     return out.select("score_id", "note_idx", "pitch", "is_rest", "pitch_from", "ocr_text", *r6("confidence"))
+
+
+META_PATCH = "SELECT score_id, CASE WHEN score_id % 3 = 0 THEN '' ELSE 'D' END AS key, '2/4' AS time_signature, CAST(score_id % 90 AS DOUBLE) AS tempo_bpm FROM {s} WHERE score_id % 4 <> 0"
+
+
+@query(
+    "merge_score_meta",
+    f"""WITH p AS ({META_PATCH.replace('{s}', '{v:scores}')})
+SELECT s.score_id, coalesce(nullif(s.key, ''), p.key, s.key) AS key, coalesce(nullif(s.time_signature, ''), p.time_signature) AS time_signature, coalesce(s.tempo_bpm, p.tempo_bpm) AS tempo_bpm
+FROM {{v:scores}} s LEFT JOIN p ON p.score_id = s.score_id""",
+)
+def q_score_meta(spark, sf):
+    s = view(spark, sf, "scores")
+    return sc.merge_score_meta(s, spark.sql(META_PATCH, s=s)).select("score_id", "key", "time_signature", "tempo_bpm")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 WIDE_FROM = "１２３４５６７０．－｜丨│"
 WIDE_TO = "12345670.-|||"
 
+# The characters of notes, and the CJK range.
 PITCH_CHARS = r"[1-7１-７]"
 DIGIT_CHARS = r"[0-7１-７０]"
 CJK = r"[\x{4e00}-\x{9fff}]"
@@ -24,8 +25,7 @@ VETO_WORDS = (
 )
 TITLE_WORDS = r"(?iu)(title|样例|sample|eval\s*e\d|标题|示意)"
 PURE_METER = r"^\s*[1-9][0-9]*\s*/\s*[1-9][0-9]*\s*$"
-KEY_NAMED = r"(?iu)(?:key|调)\s*[:：]?\s*([A-Ga-g][b#]?)"
-KEY_SOLFA = r"(?iu)1\s*=\s*([A-Ga-g][b#]?)"
+# How a line names its key, meter and tempo.
 KEY_ANY = r"(?iu)(?:key|调)\s*[:：]?\s*([A-Ga-g][b#]?)|1\s*=\s*([A-Ga-g][b#]?)"
 METER = r"(?iu)(?:time|拍号)?\s*[:：]?\s*([1-9][0-9]*)\s*/\s*([1-9][0-9]*)"
 TEMPO = r"(?iu)(?:tempo|bpm|速度)\s*[:：]?\s*([1-9][0-9]{1,2})"

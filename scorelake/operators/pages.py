@@ -131,7 +131,7 @@ def overlay_items(
     l1 = base(regions, "L1", F.concat(F.lit("l1-"), "role"), F.col("role"), F.col("role"), *none)
     l2 = base(
         systems, "L2", F.concat(F.lit("l2-sys"), text("system_idx")),
-        F.concat(F.lit("谱行 "), (F.col("system_idx") + 1).cast("string")), F.lit("system"), *none,
+        F.concat(F.lit("row "), (F.col("system_idx") + 1).cast("string")), F.lit("system"), *none,
     )
     plain = F.coalesce("measure_source", F.lit("")).isin("", "l3_barline", "l3_split")
     l3 = base(
