@@ -170,20 +170,23 @@ class Keys:
             place[order] = np.arange(len(order))
             self.sent, self.which, self.count, bucket = unique[order], place[which], count[order], bucket[order]
         self.width = width
+        self.extra: np.ndarray | None = None  # one byte for each distinct key, sent behind the keys
         self.buckets, at = np.unique(bucket, return_index=True)
         self.at = np.append(at, len(bucket))
 
     def questions(self) -> Iterator[tuple[int, bytes]]:
         for i, b in enumerate(self.buckets):
-            yield int(b), self.sent[self.at[i] : self.at[i + 1]].astype(self.width).tobytes()
+            mine = slice(self.at[i], self.at[i + 1])
+            yield int(b), self.sent[mine].astype(self.width).tobytes() + (b"" if self.extra is None else self.extra[mine].tobytes())
 
-    def marked(self, answers: dict[int, pa.Buffer]) -> np.ndarray:
-        """For each key of the constructor, whether its bucket has it from another chunk too."""
+    def marked(self, answers: dict[int, pa.Buffer], part: int = 0) -> np.ndarray:
+        """For each key of the constructor, its bit in the given part of the answers (first: other chunks hold it too)."""
         flags = np.zeros(len(self.sent), bool)
         for i, b in enumerate(self.buckets):
             if int(b) in answers:
                 n = self.at[i + 1] - self.at[i]
-                flags[self.at[i] : self.at[i + 1]] = np.unpackbits(np.frombuffer(answers[int(b)], np.uint8), count=n)
+                bits = np.frombuffer(answers[int(b)], np.uint8, -(-n // 8), part * -(-n // 8))
+                flags[self.at[i] : self.at[i + 1]] = np.unpackbits(bits, count=n)
         return flags[self.which]
 
 
