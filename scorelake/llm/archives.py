@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorelake.llm.exchange import written
+
 DICTIONARY_MAGIC, SKIPPABLE_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 EMPTY_FRAME = struct.pack("<II", SKIPPABLE_MAGIC, 0)
 #: Bytes of records in an archive, of records a dictionary is trained on, and of the dictionary.
@@ -174,7 +176,8 @@ def archive_pages(
         .drop("copies")
     )
     owner = F.when(F.col("owner") == F.col("page_id"), None).otherwise(F.col("owner"))
-    # a hot body is on the left side only, where AQE splits it
+    # written, as AQE splits a hot body (on the left side) only beside a plain scan
+    groups = written(groups, "archives-groups")
     named = rows.join(groups, ["digest", "n"], "left").select(
         F.col("page_id").cast("string").alias("page_id"), "url", "body", owner.cast("string").alias("owner")
     )
