@@ -33,6 +33,9 @@ HEADLINE = [
     "nms_1d",
     "score_round_trip",
     "structure_round_trip",
+    "compare_samples",
+    "parent_of",
+    "system_boxes",
 ]
 
 
