@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,6 +153,49 @@ def _measured(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     return sides.select("a", "b", "ka", "kb").mapInArrow(run, schema)
 
 
+def _possible_pairs(rest: DataFrame, keys: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (page_id, label) in different classes that may be similar: a superset of the similar ones.
+
+    Shingles are ordered from rare to frequent. Similar texts share one of the first shingles of both (as many as may
+    differ, and one), and what follows the first shared one bounds all they have in common; so does, more closely, what
+    follows the last one shared among these. Among many copies with edits of their own the edits come first, so nearly
+    all pairs fall to these bounds.
+    """
+    over, under = similarity
+    schema = rest.schema.add("token", "long").add("n", "integer")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = np.frombuffer(batch.column("keys")[i].as_buffer(), np.int64)
+                ids = batch.select(["page_id", "label"]).take(pa.array(np.full(len(key), i)))
+                yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(key), pa.array(np.full(len(key), len(key), np.int32))], names=schema.names)
+
+    words = rest.join(keys, "page_id").select("page_id", "label", "keys").dropDuplicates(["page_id"])
+    words = written(words.mapInArrow(tokens, schema), "near-tokens")
+    counts = words.groupBy("token").agg(F.count("*").alias("texts"))
+    order = Window.partitionBy("page_id").orderBy("texts", "token")
+    ranked = words.join(counts, "token").withColumn("at", F.row_number().over(order) - 1)
+    head = written(ranked.filter(F.col("at") * under <= F.col("n") * (under - over)), "near-heads")
+    first = head.filter("texts > 1")
+    left = first.select("token", F.col("page_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    right = first.select("token", F.col("page_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    may = most * (over + under) >= (F.col("na") + F.col("nb")) * over
+    met = left.join(right, "token").filter((F.col("la") < F.col("lb")) & may)
+    met = met.select(F.greatest("a", "b").alias("p"), F.least("a", "b").alias("q")).distinct()
+    lists = head.groupBy("page_id", "n").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("h"))
+    lists = lists.select("page_id", "n", F.transform("h", lambda x: x["token"]).alias("h"))
+    one = lists.select(F.col("page_id").alias("p"), F.col("n").alias("np"), F.col("h").alias("hp"))
+    two = lists.select(F.col("page_id").alias("q"), F.col("n").alias("nq"), F.col("h").alias("hq"))
+    both = met.join(one, "p").join(two, "q").withColumn("same", F.array_intersect("hp", "hq"))
+    both = both.withColumns({"last": F.element_at("same", -1), "n_same": F.size("same")})
+    rest_of = lambda n, h: F.col(n) - F.array_position(h, F.col("last"))
+    most = F.col("n_same") + F.least(rest_of("np", "hp"), rest_of("nq", "hq"))
+    both = both.filter(most * (over + under) >= (F.col("np") + F.col("nq")) * over)
+    return both.select(F.col("p").alias("a"), F.col("q").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node of ``edges`` (a, b) with the smallest node that it is linked to, directly or not.
 
@@ -170,6 +213,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _linked(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after the links ``edges`` (a, b) too: only links between classes are followed."""
+    for side in ("a", "b"):
+        own = labels.select(F.col("node").alias(side), "label")
+        edges = edges.join(own, side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    between = written(edges.filter("a <> b").distinct(), "near-links")
+    if between.isEmpty():
+        return labels
+    top = components(between)
+    new = top.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    known = labels.join(new, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return written(known.union(top.join(labels, "node", "left_anti").select("node", "label")), "near-labels")
+
+
 def near_duplicates(
     page_texts: DataFrame,
     similarity: tuple[int, int] = (4, 5),
@@ -186,19 +243,20 @@ def near_duplicates(
     shingle) is ``similarity`` (a fraction) or more; a class is what links connect. Texts of the same words form one node.
 
     Returns (page_id, class_id), one row per row of ``page_texts``; ``class_id`` is the smallest page_id of the class. Null
-    and empty texts have no shingles and stand alone, under their own id. A page listed twice is in its class twice. A null
+    and empty texts have no shingles and stand alone, under their own id. A page listed twice is in its class twice (with two texts, the
+    classes of both are one). A null
     page_id is in the class of the pages with its words, or has a null class. An empty table gives an empty result.
 
     How partners are found: pages that share one of ``bands`` bands of ``rows`` coordinates form a bucket; at the default a pair
     of similarity 0.8 shares one with probability 0.9999. In a bucket all pages are compared with the smallest page, then
-    those outside its class with the smallest of theirs. Pairs of a bucket that are still in different classes follow,
-    except where the distances to the first page (a metric) prove that they can't be similar. So no cap drops a partner.
+    those outside its class with the smallest of theirs. Pages of buckets that still hold several classes are then searched
+    exactly for similar pairs (``_possible_pairs``). So no cap drops a partner.
     """
     over, under = similarity
-    far = 1 - over / under
     signed = written(signatures_of(page_texts, bands, rows, shingle, page_col, text_col), "near-signatures")
     owners = signed.filter("key is not null").groupBy("key").agg(F.min("page_id").alias("rep"))
-    # a large group of copies is on the left side only, where AQE splits it
+    # written, as AQE splits a large group of copies (on the left side) only beside a plain scan
+    owners = written(owners, "near-owners")
     member = written(
         signed.join(owners, "key", "left").select("page_id", "rep", F.when(F.col("page_id") == F.col("rep"), F.col("bands")).alias("bands")),
         "near-members",
@@ -208,12 +266,11 @@ def near_duplicates(
     buckets = written(banded.join(groups, "band").distinct(), "near-buckets")
     wanted = buckets.select(F.col("a").alias("page_id")).distinct()
     texts = page_texts.select(F.col(page_col).alias("page_id"), F.col(text_col).alias("text")).join(wanted, "page_id", "left_semi")
-    keys = written(_shingle_keys(texts, shingle).dropDuplicates(["page_id"]), "near-keys")
+    keys = written(_shingle_keys(texts, shingle), "near-keys")
 
     similar = F.col("common") * under >= F.col("either") * over
     first = written(_measured(buckets.filter("a <> leader").select("a", F.col("leader").alias("b")).distinct(), keys), "near-pairs")
-    edges = first.filter(similar).select("a", "b")
-    labels = components(edges)
+    labels = components(first.filter(similar).select("a", "b"))
 
     def in_classes(labels: DataFrame) -> DataFrame:
         """Rows of ``buckets`` with their class, in buckets of several classes."""
@@ -227,24 +284,13 @@ def near_duplicates(
     second_of = outside.groupBy("band").agg(F.min("a").alias("b"))
     pairs = outside.join(second_of, "band").filter("a <> b").select("a", "b").distinct()
     second = written(_measured(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), keys), "near-pairs")
-    edges = edges.union(second.filter(similar).select("a", "b"))
-    labels = components(edges)
-
-    distance = first.select("a", F.col("b").alias("leader"), (1 - F.col("common") / F.col("either")).alias("d"))
-    rest = in_classes(labels).join(distance, ["a", "leader"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    rest = rest.withColumn("cell", F.floor(F.col("d") / far).cast("int")).select("band", "a", "label", "d", "cell")
-    other = rest.select("band", F.col("a").alias("b"), F.col("label").alias("label_b"), F.col("d").alias("d_b"), F.col("cell").alias("at"))
-    other = other.withColumn("cell", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)))
-    pairs = (
-        rest.join(other, ["band", "cell"])
-        .filter((F.col("label") < F.col("label_b")) & (F.abs(F.col("d") - F.col("d_b")) <= far + 1e-9))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
+    labels = _linked(labels, second.filter(similar).select("a", "b"))
+
+    rest = written(in_classes(labels).select(F.col("a").alias("page_id"), "label").distinct(), "near-rest")
+    pairs = _possible_pairs(rest, keys, similarity)
     known = first.select("a", "b").union(second.select("a", "b"))
-    third = written(_measured(pairs.join(known, ["a", "b"], "left_anti"), keys), "near-pairs").filter(similar).select("a", "b")
-    if not third.isEmpty():
-        labels = components(edges.union(third))
+    third = written(_measured(pairs.join(known, ["a", "b"], "left_anti"), keys), "near-pairs")
+    labels = _linked(labels, third.filter(similar).select("a", "b"))
     return member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("page_id").alias(page_col), F.coalesce("label", "rep", "page_id").alias("class_id")
     )
