@@ -3,11 +3,13 @@
 A text becomes a template: numbers, names and units turn into typed placeholders, all other words into lower case.
 Windows of the template are hash-joined with those of the evaluation samples, so a question whose figures or names were
 changed still matches. What stood in the placeholders is kept beside the window; a match counts only as far as
-the same value of the sample always meets the same value of the page.
+the same value of the sample always meets the same value of the page. Windows without any placeholder are joined
+too, so a copy is found in any case and punctuation, whatever its words are taken for.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.arrays import BYTE_VALUE, buffers, mix, pieces, prefix_hashes, span_hashes
+from scorelake.llm.arrays import buffers, mix, pieces, prefix_hashes, span_hashes
 from scorelake.llm.exchange import written
 
 #: Words that are units right after a number. Fixed values.
@@ -32,118 +34,215 @@ FILTER_BITS = 1 << 23
 LEAST_WORDS = 4
 SLICE_BYTES = 2 << 20
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: Code points by class: between words, digits of numbers, letters of words.
+BREAK, DIGIT, LETTER = 0, 1, 2
+#: The reading whose windows make the core of a sample.
+NAMES = 2
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[0x30:0x3A] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?:;\n"]] = True
 
+@functools.cache
+def _code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its class, lower case, whether it is a capital, whether it ends a sentence."""
+    n = 0x110000
+    kind = np.full(n, LETTER, np.int8)
+    kind[:0x80] = BREAK
+    kind[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+    kind[0x30:0x3A] = DIGIT
+    lower, capital, stop = np.arange(n, dtype=np.uint32), np.zeros(n, bool), np.zeros(n, bool)
+    for c in range(0x20000):
+        low = chr(c).casefold()
+        low = low if len(low) == 1 else chr(c).lower()[0]
+        if low != chr(c):
+            lower[c], capital[c] = ord(low), chr(c).lower() != chr(c)
+    stop[[ord(c) for c in ".!?:;\n"]] = True
+    return kind, lower, capital, stop
 
-def _hash_of(word: str) -> np.uint64:
-    data = np.frombuffer(word.encode(), np.uint8)
-    return mix(span_hashes(prefix_hashes(BYTE_VALUE[data]), np.array([0]), np.array([len(data)])))[0]
+
+def _decoded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of some UTF-8 texts and where each text begins among them."""
+    try:
+        joined = data.tobytes().decode()
+        ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    except UnicodeDecodeError:
+        parts = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        joined, ends = "".join(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+    return np.frombuffer(joined.encode("utf-32-le"), np.uint32), ends
+
+
+def _word_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix(span_hashes(prefix_hashes(mix(points.astype(np.uint64), 3) | np.uint64(1)), start, end))
+
+
+@functools.cache
+def _expansions() -> tuple[np.ndarray, np.ndarray]:
+    """By code point, the row of its folded form among those of several letters (sharp s, ligatures), or -1; those rows, with zeros."""
+    which, forms = np.full(0x110000, -1, np.int16), []
+    for c in range(0x20000):
+        if len(low := chr(c).casefold()) > 1:
+            which[c] = len(forms)
+            forms.append([ord(x) for x in low.ljust(3, "\0")])
+    return which, np.array(forms, np.uint32)
+
+
+def _expanded(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``points`` and ``offsets`` with every code point that folds to several letters replaced by these."""
+    which, forms = _expansions()
+    at = np.flatnonzero(which[points] >= 0)
+    if not len(at):
+        return points, offsets
+    form = forms[which[points[at]]]
+    length = np.ones(len(points), np.int64)
+    length[at] = (form > 0).sum(axis=1)
+    place = np.concatenate([[0], np.cumsum(length)])
+    out = np.repeat(points, length)
+    for k in range(3):
+        has = form[:, k] > 0
+        out[place[at[has]] + k] = form[has, k]
+    return out, place[offsets]
+
+
+@functools.cache
+def _units() -> np.ndarray:
+    points = [np.array([ord(c) for c in u], np.uint32) for u in UNITS]
+    return np.sort([_word_hashes(p, np.array([0]), np.array([len(p)]))[0] for p in points])
+
+
+class Stream:
+    """One reading of the words of some texts. By token: ``text`` (row), ``word`` (its first word), ``kind``, ``value`` (hash of
+    the words) and ``sign`` (hash of the reading); ``new`` marks the tokens that the reading before took otherwise."""
+
+    def __init__(self, n: int, text: np.ndarray, word: np.ndarray, kind: np.ndarray, value: np.ndarray, new: np.ndarray | None) -> None:
+        self.text, self.word, self.kind, self.value = text, word, kind, value
+        self.first = np.searchsorted(text, np.arange(n + 1))
+        self.sign = np.where(kind == LITERAL, value, mix(kind.astype(np.uint64), 17))
+        self.literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+        self.new = None if new is None else np.concatenate([[0], np.cumsum(new)])
+
+    def half(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which spans of tokens are half literal at least."""
+        return 2 * (self.literal[end] - self.literal[at]) >= end - at
+
+    def windows(self, size: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """First and behind last tokens of all windows of ``size`` tokens of one text that are half literal at least and, unless
+        ``every``, that the reading before doesn't have."""
+        at = np.flatnonzero(self.text[size - 1 :] == self.text[: max(0, len(self.text) - size + 1)])
+        if not every and self.new is not None:
+            at = at[self.new[at + size] > self.new[at]]
+        at = at[self.half(at, at + size)]
+        return at, at + size
 
 
 class Template:
-    """The tokens of some texts: ``text`` (row), ``kind``, ``value`` (hash of the word) and ``sign`` (hash of the template)."""
+    """The words of some texts and their readings: all words literal; numbers and units typed; names typed as well."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        n = len(data)
-        low = data.copy()
-        capital = (data >= 0x41) & (data <= 0x5A)
-        low[capital] += 0x20
-        latin = np.zeros(n, bool)  # capitals of Latin-1: C3 80 .. C3 9E in UTF-8
-        latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        low[latin] += 0x20
-        capital[:-1] |= latin[1:]
-        digit = _DIGIT[data]
+        kinds, lower, capitals, stops = _code_points()
+        points, offsets = _expanded(*_decoded(data, offsets))
+        n = len(points)
+        kind = kinds[points]
+        digit = kind == DIGIT
         joint = np.zeros(n, bool)  # a point or comma between two digits belongs to the number
         if n > 2:
-            joint[1:-1] = ((data[1:-1] == 0x2E) | (data[1:-1] == 0x2C)) & digit[:-2] & digit[2:]
+            joint[1:-1] = ((points[1:-1] == 0x2E) | (points[1:-1] == 0x2C)) & digit[:-2] & digit[2:]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         joint[:-1] &= ~edge[1:n]
         joint &= ~edge[:n]
-        number = digit | joint
-        kind = np.where(number, 1, np.where(_LETTER[data], 2, 0))
+        kind[joint] = DIGIT
         begin = kind > 0
         begin[1:] &= (kind[1:] != kind[:-1]) | edge[1:n]
         close = kind > 0
         close[:-1] &= (kind[1:] != kind[:-1]) | edge[1:n]
         start, end = np.flatnonzero(begin), np.flatnonzero(close) + 1
+        self.n = len(offsets) - 1
         self.first = np.searchsorted(start, offsets)
-        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.value = mix(span_hashes(prefix_hashes(BYTE_VALUE[low]), start, end))
-        self.kind = np.zeros(len(start), np.int8)
-        if not len(start):
-            self.sign = self.value
-            return
-        is_number = number[start]
+        self.text = np.repeat(np.arange(self.n), np.diff(self.first))
+        self.value = _word_hashes(lower[points], start, end)
+        number = kind[start] == DIGIT
+        before = np.zeros(len(start), bool)
+        before[1:] = self.text[1:] == self.text[:-1]
         # a capital makes a name unless the word begins a sentence: a stop stands between it and the word before
-        stops = np.concatenate([[0], np.cumsum(_STOP[data] & ~joint)])
-        opens = np.ones(len(start), bool)
-        opens[1:] = (stops[start[1:]] > stops[end[:-1]]) | (self.text[1:] != self.text[:-1])
-        self.kind[capital[start] & ~opens] = NAME
-        self.kind[is_number] = NUMBER
-        units = np.sort(np.array([_hash_of(u) for u in UNITS], np.uint64))
-        place = np.minimum(np.searchsorted(units, self.value), len(units) - 1)
-        after = np.zeros(len(start), bool)
-        after[1:] = is_number[:-1] & (self.text[1:] == self.text[:-1])
-        self.kind[(units[place] == self.value) & after] = UNIT
-        self.sign = np.where(self.kind == LITERAL, self.value, mix(self.kind.astype(np.uint64), 17))
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and hashes of all windows of ``size`` tokens of one text, half of them literal at least."""
-        if len(self.text) < size:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.flatnonzero(self.text[size - 1 :] == self.text[: len(self.text) - size + 1])
-        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        at = at[2 * (literal[at + size] - literal[at]) >= size]
-        return at, mix(span_hashes(prefix_hashes(self.sign), at, at + size), 40 + size)
-
-
-_WINDOW = [T.StructField("hash", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("slots", T.ArrayType(T.LongType()))]
+        ends = np.concatenate([[0], np.cumsum(stops[points] & ~joint)])
+        opens = ~before
+        opens[1:] |= ends[start[1:]] > ends[end[:-1]]
+        units = _units()
+        unit = units[np.minimum(np.searchsorted(units, self.value), len(units) - 1)] == self.value
+        unit[1:] &= number[:-1]
+        unit &= before
+        self.numbers = np.where(number, NUMBER, np.where(unit, UNIT, LITERAL)).astype(np.int8)
+        self.capital, self.opens = capitals[points[start]] & (self.numbers == LITERAL), opens
+
+    def streams(self) -> list[Stream]:
+        word = np.arange(len(self.value))
+        name = self.capital & ~self.opens
+        readings = [
+            (np.zeros(len(word), np.int8), None),
+            (self.numbers, self.numbers != LITERAL),
+            (np.where(name, np.int8(NAME), self.numbers), name),
+        ]
+        return [Stream(self.n, self.text, word, kind, self.value, new) for kind, new in readings]
+
+
+_WINDOW = [
+    *(T.StructField("hash", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("word", T.IntegerType())),
+    *(T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType())),
+    *(T.StructField("literal", T.BooleanType()), T.StructField("core", T.BooleanType())),
+]
 
 
 def _windows_of(texts: DataFrame, id_col: str, text_col: str, window: int, sizes: Sequence[int] | None, wanted) -> DataFrame:
-    """(id, hash, at, slots) of the template windows; ``sizes``: besides ``window``, or None for one size by text (the
-    samples). ``wanted``: a broadcast filter, or None for all windows."""
+    """(id, hash, at, word, slots, size, literal, core) of the windows of all readings. ``at`` counts the tokens of the reading,
+    ``word`` those of the text; ``literal``: of the first reading; ``core``: a window of the last reading begins at this word.
+    ``sizes``: of the windows, or None for one size by text (the samples). ``wanted``: a broadcast filter, or None for all windows."""
     rows = texts.select(F.col(id_col), F.col(text_col).alias("__text"))
-    schema = T.StructType([rows.schema[id_col], *_WINDOW, T.StructField("size", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    schema = T.StructType([rows.schema[id_col], *_WINDOW])
+
+    def found(streams: list[Stream]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(number of the reading, size, first token, behind last token, hash) of the windows."""
+        for i, stream in enumerate(streams):
+            count = np.diff(stream.first)
+            for size in sizes if sizes is not None else np.unique(np.minimum(count[count >= LEAST_WORDS], window)).tolist():
+                at, end = stream.windows(size)
+                if sizes is None:
+                    right = np.minimum(count, window)[stream.text[at]] == size
+                    at, end = at[right], end[right]
+                yield i, size, at, end, mix(span_hashes(prefix_hashes(stream.sign), at, end), 40 + size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "__text", SLICE_BYTES):
                 template = Template(*buffers(piece.column("__text")))
-                count = np.diff(template.first)
-                use = sizes if sizes is not None else np.unique(np.minimum(count[count >= LEAST_WORDS], window)).tolist()
-                for size in use:
-                    at, hashes = template.windows(size)
-                    if sizes is None:
-                        right = np.minimum(count, window)[template.text[at]] == size
-                        at, hashes = at[right], hashes[right]
+                streams = template.streams()
+                core = np.zeros(len(template.value), bool)
+                if sizes is None:
+                    names = streams[NAMES]
+                    count = np.minimum(np.diff(names.first), window)
+                    for size in np.unique(count[count >= LEAST_WORDS]).tolist():
+                        at = names.windows(size, every=True)[0]
+                        core[names.word[at[count[names.text[at]] == size]]] = True
+                for i, size, at, end, hashes in found(streams):
+                    stream = streams[i]
                     if wanted is not None:
                         near = _passes(wanted.value, hashes)
-                        at, hashes = at[near], hashes[near]
+                        at, end, hashes = at[near], end[near], hashes[near]
                     if not len(at):
                         continue
-                    text = template.text[at]
-                    place = at - template.first[text]
-                    open_ = template.kind != LITERAL
+                    text = stream.text[at]
+                    open_ = stream.kind != LITERAL
                     before = np.concatenate([[0], np.cumsum(open_)])
-                    n_slots = before[at + size] - before[at]
-                    values = template.value[open_].view(np.int64)
+                    n_slots = before[end] - before[at]
+                    values = stream.value[open_].view(np.int64)
                     ends = np.concatenate([[0], np.cumsum(n_slots)])
                     pick = np.arange(ends[-1]) + np.repeat(before[at] - ends[:-1], n_slots)
                     arrays = [
                         piece.column(0).take(pa.array(text)),
                         pa.array(hashes.view(np.int64)),
-                        pa.array(place.astype(np.int32)),
+                        pa.array((at - stream.first[text]).astype(np.int32)),
+                        pa.array((stream.word[at] - template.first[text]).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[pick])),
                         pa.array(np.full(len(at), size, np.int32)),
-                        pa.array((count[text] - size + 1).astype(np.int32)),
+                        pa.array(np.full(len(at), i == 0)),
+                        pa.array(core[stream.word[at]]),
                     ]
                     yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
@@ -151,9 +250,11 @@ def _windows_of(texts: DataFrame, id_col: str, text_col: str, window: int, sizes
 
 
 def _filter(windows: DataFrame) -> np.ndarray:
-    """A bit for each hash modulo FILTER_BITS. At most FILTER_BITS / 64 rows come to the driver, whatever the benchmark."""
+    """Two bits for each hash, from its lower and its upper half modulo FILTER_BITS. At most FILTER_BITS / 64 rows come to the
+    driver, whatever the benchmark."""
+    halves = windows.select(F.explode(F.array("hash", F.expr("shiftrightunsigned(hash, 32)"))).alias("hash"))
     bit = F.pmod(F.col("hash"), F.lit(FILTER_BITS))
-    words = windows.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(hash, {FILTER_BITS}) % 64 as int))").alias("bit"))
+    words = halves.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(hash, {FILTER_BITS}) % 64 as int))").alias("bit"))
     out = np.zeros(FILTER_BITS // 64, np.int64)
     for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
         out[row.word] = row.bits
@@ -161,8 +262,13 @@ def _filter(windows: DataFrame) -> np.ndarray:
 
 
 def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes & np.uint64(FILTER_BITS - 1)  # equals pmod, as FILTER_BITS is a power of two
-    return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+    def has(half: np.ndarray) -> np.ndarray:
+        bit = half & np.uint64(FILTER_BITS - 1)  # equals pmod, as FILTER_BITS is a power of two
+        return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+    out = has(hashes)
+    out[out] = has(hashes[out] >> np.uint64(32))
+    return out
 
 
 def find_leaks(
@@ -179,40 +285,51 @@ def find_leaks(
 
     ``page_texts``: (``page_id``, ``text``); ``eval_samples``: (``sample_id``, ``text``); other columns are dropped. Words are
     runs of letters or of digits, so punctuation and case don't matter; a sample of fewer than ``window`` words is
-    looked for as a whole, one of fewer than four isn't looked for. Windows that are more than half placeholders don't count.
+    looked for as a whole, one of fewer than four isn't looked for. A window counts as found if all its words stand on
+    the page, or the same template; a template that is more than half placeholders isn't compared.
 
     Returns one row for each page and sample: (page_id, sample_id, n_windows, n_matched, coverage, consistency, exact) where
-    ``n_matched`` of the sample's ``n_windows`` windows stand on the page, a share of ``coverage`` or more, and of the sample's
+    ``n_matched`` of the sample's ``n_windows`` windows stand on the page, a share of ``coverage`` or more (of all its windows, or of
+    those whose template is compared, whichever share is larger), and of the sample's
     placeholder values met there a share of ``consistency`` or more always meets one and the same value of the page (1
-    without placeholders); ``exact`` says that all of them meet themselves. Null and empty texts have no windows. Repeated rows
+    without placeholders, and if ``coverage`` is reached by equal words alone); ``exact`` says that all of them meet themselves.
+    Null and empty texts have no windows. Repeated rows
     count once. Null ids are left out. Empty tables give an empty result. The filter and the joins take a benchmark of any size.
     """
     spark = page_texts.sparkSession
     samples = eval_samples.filter(F.col(sample_col).isNotNull())
     asked = _windows_of(samples, sample_col, text_col, window, None, None)
-    asked = written(asked.select(F.col(sample_col).alias("sample_id"), "hash", F.col("at").alias("sample_at"), F.col("slots").alias("asked"), "size", "n"), "leaks-samples")
+    renamed = {"word": "sample_word", "at": "sample_at", "slots": "asked", sample_col: "sample_id"}
+    asked = written(asked.select(*(F.col(c).alias(renamed.get(c, c)) for c in asked.columns)), "leaks-samples")
     sizes = [r.size for r in asked.select("size").distinct().collect()]  # at most `window` of them
     wanted = spark.sparkContext.broadcast(_filter(asked))
     pages = page_texts.filter(F.col(page_col).isNotNull())
     found = _windows_of(pages, page_col, text_col, window, sorted(sizes), wanted).select(F.col(page_col).alias("page_id"), "hash", "at", "slots")
-    met = written(found.join(asked.select("sample_id", "hash", "sample_at", "asked"), "hash"), "leaks-windows")
+    met = written(found.join(asked.drop("size"), "hash"), "leaks-windows")
+
+    key = ["page_id", "sample_id"]
+    total = asked.groupBy("sample_id").agg(F.countDistinct("sample_word").alias("words"), F.countDistinct(F.when(F.col("core"), F.col("sample_word"))).alias("cores"))
+    words = met.groupBy(*key, "sample_word").agg(F.max("literal").alias("literal"), F.max("core").alias("core"))
+    pairs = words.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.count_if("literal").alias("n_literal"))
+
+    def share(part: str, of: str):
+        return F.struct(F.coalesce(F.expr(f"try_divide({part}, {of})"), F.lit(0.0)).alias("share"), F.col(of).alias("of"), F.col(part).alias("part"))
 
-    total = asked.groupBy("sample_id").agg(F.countDistinct("sample_at").alias("n_windows"))
-    share = F.col("n_matched") / F.col("n_windows")
-    pairs = met.select("page_id", "sample_id", "sample_at").distinct().groupBy("page_id", "sample_id").agg(F.count("*").alias("n_matched"))
-    pairs = pairs.join(total, "sample_id").withColumn("coverage", share).filter(F.col("coverage") >= coverage)
+    pairs = pairs.join(total, "sample_id").withColumn("best", F.greatest(share("n", "words"), share("n_core", "cores")))
+    pairs = pairs.withColumn("same", F.col("n_literal") / F.col("words") >= coverage).filter(F.col("best.share") >= coverage)
+    pairs = pairs.select(*key, "same", F.col("best.of").alias("n_windows"), F.col("best.part").alias("n_matched"), F.col("best.share").alias("coverage"))
 
     # on one diagonal the windows of a copy follow each other, so its values are told from those of another copy
     zipped = F.explode(F.arrays_zip("asked", "slots")).alias("slot")
-    slots = met.join(pairs.select("page_id", "sample_id"), ["page_id", "sample_id"], "left_semi")
-    slots = slots.select("page_id", "sample_id", (F.col("at") - F.col("sample_at")).alias("shift"), zipped)
-    values = slots.groupBy("page_id", "sample_id", "shift", "slot.asked").agg(F.min("slot.slots").alias("low"), F.max("slot.slots").alias("high"))
-    agreed = values.groupBy("page_id", "sample_id").agg(
+    slots = met.join(pairs.select(*key), key, "left_semi")
+    slots = slots.select(*key, (F.col("at") - F.col("sample_at")).alias("shift"), zipped)
+    values = slots.groupBy(*key, "shift", "slot.asked").agg(F.min("slot.slots").alias("low"), F.max("slot.slots").alias("high"))
+    agreed = values.groupBy(*key).agg(
         F.avg((F.col("low") == F.col("high")).cast("double")).alias("consistency"),
         F.min((F.col("low") == F.col("asked")) & (F.col("high") == F.col("asked"))).alias("exact"),
     )
-    out = pairs.join(agreed, ["page_id", "sample_id"], "left").withColumns(
-        {"consistency": F.coalesce("consistency", F.lit(1.0)), "exact": F.coalesce("exact", F.lit(True))}
+    out = pairs.join(agreed, key, "left").withColumns(
+        {"consistency": F.when(F.col("same"), 1.0).otherwise(F.coalesce("consistency", F.lit(1.0))), "exact": F.coalesce("exact", F.lit(True))}
     )
     return out.filter(F.col("consistency") >= consistency).select(
         F.col("page_id").alias(page_col), F.col("sample_id").alias(sample_col), "n_windows", "n_matched", "coverage", "consistency", "exact"

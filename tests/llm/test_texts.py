@@ -351,3 +351,26 @@ def test_leaks_query(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     want = {(d.doc_id, i.item_id) for d in docs for i in items if d.text and i.text in d.text}
     assert {(r.doc_id, r.item_id) for r in QUERIES["op3_benchmark_decontamination"](spark, SF).collect()} == want
+
+
+def slow_leaks(docs, items):
+    """Pairs whose page holds all words of the item in a row, in any case and with any punctuation between."""
+    flat = lambda t: " " + " ".join(re.findall(r"[a-zß-ÿ]+|\d+(?:[.,]\d+)*", (t or "").lower())) + " "
+    texts = {d: flat(t) for d, t in docs}
+    return {(d, i) for i, t in items for d, text in texts.items() if flat(t) in text}
+
+
+def test_leaks_in_any_case(spark):
+    """Copies in capitals, in title case and without punctuation, of all items."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bare = lambda t: re.sub(r"[.,;:!?\n]+", " ", t)
+    rows = [(10 * i + k, f(t)) for i, t in items for k, f in enumerate([str.upper, str.title, bare, str.lower])]
+    got = {(r.page_id, r.sample_id) for r in contamination.find_leaks(pages(spark, rows), samples(spark, items)).collect()}
+    assert got >= {(10 * i + k, i) for i, _ in items for k in range(4)}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found = contamination.find_leaks(pages(spark, docs, False), samples(spark, items)).collect()
+    assert {(r.page_id, r.sample_id) for r in found} >= slow_leaks(docs, items)
+    german = "Die Straße ist groß und heißt nach außen hin Weiße Gasse"
+    assert contamination.find_leaks(pages(spark, [(1, german.upper())]), samples(spark, [(1, german)])).count() == 1
+    greek = "ΠΟΣΑ ΜΗΛΑ ΕΧΕΙ Η ΜΑΡΙΑ ΣΤΟ ΚΑΛΑΘΙ ΤΗΣ ΣΗΜΕΡΑ"
+    assert contamination.find_leaks(pages(spark, [(1, greek.lower())]), samples(spark, [(1, greek)])).count() == 1
