@@ -10,6 +10,7 @@ too, so a copy is found in any case and punctuation, whatever its words are take
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,8 +35,15 @@ FILTER_BITS = 1 << 23
 LEAST_WORDS = 4
 SLICE_BYTES = 2 << 20
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
-#: Code points by class: between words, digits of numbers, letters of words.
-BREAK, DIGIT, LETTER = 0, 1, 2
+#: Code points by class: between words, digits of numbers, letters of words, letters of scripts without spaces (each a word),
+#: and those that count as absent (soft hyphens, joiners).
+BREAK, DIGIT, LETTER, SINGLE, ABSENT = 0, 1, 2, 3, 4
+#: Scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo, Han. Fixed ranges.
+UNSPACED = (
+    *((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007)),
+    *((0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)),
+    *((0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF)),
+)
 #: The reading whose windows make the core of a sample.
 NAMES = 2
 
@@ -45,16 +53,21 @@ def _code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By code point: its class, lower case, whether it is a capital, whether it ends a sentence."""
     n = 0x110000
     kind = np.full(n, LETTER, np.int8)
-    kind[:0x80] = BREAK
-    kind[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
-    kind[0x30:0x3A] = DIGIT
+    classes = {"P": BREAK, "S": BREAK, "Z": BREAK, "C": BREAK, "Nd": DIGIT, "Cf": ABSENT, "Cn": LETTER, "Co": LETTER}
+    for c in range(0x20000):
+        name = unicodedata.category(chr(c))
+        kind[c] = classes.get(name, classes.get(name[0], LETTER))
+    kind[0x200B] = BREAK  # a space without width
+    kind[0xE0000:0xE0080] = ABSENT
+    for a, b in UNSPACED:
+        kind[a : b + 1][kind[a : b + 1] == LETTER] = SINGLE
     lower, capital, stop = np.arange(n, dtype=np.uint32), np.zeros(n, bool), np.zeros(n, bool)
     for c in range(0x20000):
         low = chr(c).casefold()
         low = low if len(low) == 1 else chr(c).lower()[0]
         if low != chr(c):
             lower[c], capital[c] = ord(low), chr(c).lower() != chr(c)
-    stop[[ord(c) for c in ".!?:;\n"]] = True
+    stop[[ord(c) for c in ".!?:;\n\u2026\u3002\uff01\uff1f\uff1a\uff1b\u2028\u2029"]] = True
     return kind, lower, capital, stop
 
 
@@ -138,6 +151,8 @@ class Template:
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         kinds, lower, capitals, stops = _code_points()
         points, offsets = _expanded(*_decoded(data, offsets))
+        there = kinds[points] != ABSENT
+        points, offsets = points[there], np.concatenate([[0], np.cumsum(there)])[offsets]
         n = len(points)
         kind = kinds[points]
         digit = kind == DIGIT
@@ -150,9 +165,9 @@ class Template:
         joint &= ~edge[:n]
         kind[joint] = DIGIT
         begin = kind > 0
-        begin[1:] &= (kind[1:] != kind[:-1]) | edge[1:n]
+        begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == SINGLE) | edge[1:n]
         close = kind > 0
-        close[:-1] &= (kind[1:] != kind[:-1]) | edge[1:n]
+        close[:-1] &= (kind[1:] != kind[:-1]) | (kind[1:] == SINGLE) | edge[1:n]
         start, end = np.flatnonzero(begin), np.flatnonzero(close) + 1
         self.n = len(offsets) - 1
         self.first = np.searchsorted(start, offsets)
@@ -284,7 +299,7 @@ def find_leaks(
     """Pages whose recognised text holds an evaluation sample, verbatim or with other numbers, names or units.
 
     ``page_texts``: (``page_id``, ``text``); ``eval_samples``: (``sample_id``, ``text``); other columns are dropped. Words are
-    runs of letters or of digits, so punctuation and case don't matter; a sample of fewer than ``window`` words is
+    runs of letters or of digits, and the single letters of scripts without spaces, so punctuation and case don't matter; a sample of fewer than ``window`` words is
     looked for as a whole, one of fewer than four isn't looked for. A window counts as found if all its words stand on
     the page, or the same template; a template that is more than half placeholders isn't compared.
 

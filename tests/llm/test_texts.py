@@ -374,3 +374,20 @@ def test_leaks_in_any_case(spark):
     assert contamination.find_leaks(pages(spark, [(1, german.upper())]), samples(spark, [(1, german)])).count() == 1
     greek = "ΠΟΣΑ ΜΗΛΑ ΕΧΕΙ Η ΜΑΡΙΑ ΣΤΟ ΚΑΛΑΘΙ ΤΗΣ ΣΗΜΕΡΑ"
     assert contamination.find_leaks(pages(spark, [(1, greek.lower())]), samples(spark, [(1, greek)])).count() == 1
+
+
+def test_leaks_of_any_words(spark):
+    """Verbatim items of numbers, of names, of few words, and of scripts without spaces; typographic punctuation."""
+    items = [
+        (1, "Compute 12 + 7 * 3 - 48 / 6 + 5 - 2 + 9 * 4 - 1 and 3 + 3"),
+        (2, "On Monday Alice met Bob, Carol, Dave and Erin in Paris, Rome, Oslo and Bern"),
+        (3, "What is the capital of France?"),
+        (4, "太郎は毎朝りんごを三つ買います。"),
+        (5, 'the "old" clock - it was broken - stood in the hall of the house'),
+        (6, "สวัสดีครับผมชื่อสมชาย"),
+    ]
+    rows = [(i, "they asked " + t + " and so on") for i, t in items]
+    rows[4] = (5, "here the \u201cold\u201d clock\u2014it\u00a0was bro\u00adken\u2014stood in\u2003the hall of the house")
+    rows.append((9, "nothing of the kind stands here, whatever 1 + 1 makes in the capital of another land"))
+    got = {(r.page_id, r.sample_id) for r in contamination.find_leaks(pages(spark, rows), samples(spark, items)).collect()}
+    assert got == {(i, i) for i, _ in items}
