@@ -44,8 +44,8 @@ UNSPACED = (
     *((0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)),
     *((0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF)),
 )
-#: The reading whose windows make the core of a sample.
-NAMES = 2
+#: The reading whose windows make the core of a sample, and the one that takes sentence openers for names.
+NAMES, OPENERS = 2, 3
 
 
 @functools.cache
@@ -146,7 +146,8 @@ class Stream:
 
 
 class Template:
-    """The words of some texts and their readings: all words literal; numbers and units typed; names typed as well."""
+    """The words of some texts and their readings: all words literal; numbers and units typed; names typed as well; capitalised
+    words that open a sentence typed as names, too."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         kinds, lower, capitals, stops = _code_points()
@@ -188,14 +189,26 @@ class Template:
         self.capital, self.opens = capitals[points[start]] & (self.numbers == LITERAL), opens
 
     def streams(self) -> list[Stream]:
-        word = np.arange(len(self.value))
         name = self.capital & ~self.opens
         readings = [
-            (np.zeros(len(word), np.int8), None),
+            (np.zeros(len(self.value), np.int8), None),
             (self.numbers, self.numbers != LITERAL),
             (np.where(name, np.int8(NAME), self.numbers), name),
+            (np.where(self.capital, np.int8(NAME), self.numbers), self.capital & self.opens),
         ]
-        return [Stream(self.n, self.text, word, kind, self.value, new) for kind, new in readings]
+        return [self._stream(*r) for r in readings]
+
+    def _stream(self, kind: np.ndarray, new: np.ndarray | None) -> Stream:
+        """Names that follow each other within a sentence are one token, as names may have any number of words."""
+        name = kind == NAME
+        later = np.zeros(len(kind), bool)
+        later[1:] = name[1:] & name[:-1] & ~self.opens[1:]
+        word = np.flatnonzero(~later)
+        end = np.append(word[1:], len(kind)) if len(word) else word
+        value = self.value[word]
+        several = end - word > 1
+        value[several] = mix(span_hashes(prefix_hashes(self.value), word[several], end[several]), 5)
+        return Stream(self.n, self.text[word], word, kind[word], value, None if new is None else new[word])
 
 
 _WINDOW = [
@@ -207,7 +220,7 @@ _WINDOW = [
 
 def _windows_of(texts: DataFrame, id_col: str, text_col: str, window: int, sizes: Sequence[int] | None, wanted) -> DataFrame:
     """(id, hash, at, word, slots, size, literal, core) of the windows of all readings. ``at`` counts the tokens of the reading,
-    ``word`` those of the text; ``literal``: of the first reading; ``core``: a window of the last reading begins at this word.
+    ``word`` those of the text; ``literal``: of the first reading; ``core``: a window of the reading NAMES begins at this word.
     ``sizes``: of the windows, or None for one size by text (the samples). ``wanted``: a broadcast filter, or None for all windows."""
     rows = texts.select(F.col(id_col), F.col(text_col).alias("__text"))
     schema = T.StructType([rows.schema[id_col], *_WINDOW])
@@ -217,6 +230,8 @@ def _windows_of(texts: DataFrame, id_col: str, text_col: str, window: int, sizes
         for i, stream in enumerate(streams):
             count = np.diff(stream.first)
             for size in sizes if sizes is not None else np.unique(np.minimum(count[count >= LEAST_WORDS], window)).tolist():
+                if sizes is None and i == OPENERS and size < window:
+                    continue  # 'What is the capital of France?' isn't 'Rome is the capital of Italy.'
                 at, end = stream.windows(size)
                 if sizes is None:
                     right = np.minimum(count, window)[stream.text[at]] == size
@@ -301,7 +316,9 @@ def find_leaks(
     ``page_texts``: (``page_id``, ``text``); ``eval_samples``: (``sample_id``, ``text``); other columns are dropped. Words are
     runs of letters or of digits, and the single letters of scripts without spaces, so punctuation and case don't matter; a sample of fewer than ``window`` words is
     looked for as a whole, one of fewer than four isn't looked for. A window counts as found if all its words stand on
-    the page, or the same template; a template that is more than half placeholders isn't compared.
+    the page, or the same template; a template that is more than half placeholders isn't compared. A capital within a
+    sentence makes a name, one that opens a sentence makes both a word and a name (only a word in samples of fewer than
+    ``window`` words); names that follow each other are one.
 
     Returns one row for each page and sample: (page_id, sample_id, n_windows, n_matched, coverage, consistency, exact) where
     ``n_matched`` of the sample's ``n_windows`` windows stand on the page, a share of ``coverage`` or more (of all its windows, or of

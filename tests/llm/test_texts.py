@@ -391,3 +391,15 @@ def test_leaks_of_any_words(spark):
     rows.append((9, "nothing of the kind stands here, whatever 1 + 1 makes in the capital of another land"))
     got = {(r.page_id, r.sample_id) for r in contamination.find_leaks(pages(spark, rows), samples(spark, items)).collect()}
     assert got == {(i, i) for i, _ in items}
+
+
+def test_leaks_with_other_subjects(spark):
+    """Names that open sentences, and names of another number of words."""
+    tom = "Tom buys 4 pens at the market. Tom gives 2 pens to Ann. Tom then buys 3 more pens. How many pens does Tom have?"
+    bob = tom.replace("Tom", "Bob").replace("Ann", "Sue").replace("4", "7")
+    weekly = "James writes letters to friends twice a week"
+    long = tom.replace("Tom", "Mary Jane").replace("Ann", "Sue van Dyke")
+    other = "Bob buys 7 books at the station and Sue reads them. Nobody knows how many books Bob has, but he then sells them all."
+    rows = [(1, bob), (2, weekly.replace("James", "Peter")), (3, "they say " + long), (4, other), (5, weekly.replace("James", "Peter Paul"))]
+    got = contamination.find_leaks(pages(spark, rows), samples(spark, [(1, tom), (2, weekly)])).collect()
+    assert {(r.page_id, r.sample_id) for r in got} == {(1, 1), (2, 2), (3, 1), (5, 2)}
