@@ -46,6 +46,8 @@ UNSPACED = (
 )
 #: The reading whose windows make the core of a sample, and the one that takes sentence openers for names.
 NAMES, OPENERS = 2, 3
+#: In the place of a window's size: a span with a fixed number of literal words.
+RUN = 0
 
 
 @functools.cache
@@ -144,6 +146,17 @@ class Stream:
         at = at[self.half(at, at + size)]
         return at, at + size
 
+    def runs(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and behind last tokens of the shortest spans with ``words`` literal tokens, under the same conditions."""
+        place = np.flatnonzero(self.kind == LITERAL)
+        at, end = place[: max(0, len(place) - words + 1)], place[words - 1 :] + 1
+        inside = self.text[at] == self.text[end - 1]
+        if self.new is not None:
+            inside &= self.new[end] > self.new[at]
+        at, end = at[inside], end[inside]
+        whole = self.half(at, end)
+        return at[whole], end[whole]
+
 
 class Template:
     """The words of some texts and their readings: all words literal; numbers and units typed; names typed as well; capitalised
@@ -218,10 +231,11 @@ _WINDOW = [
 ]
 
 
-def _windows_of(texts: DataFrame, id_col: str, text_col: str, window: int, sizes: Sequence[int] | None, wanted) -> DataFrame:
+def _windows_of(texts: DataFrame, id_col: str, text_col: str, window: int, literals: int, sizes: Sequence[int] | None, wanted) -> DataFrame:
     """(id, hash, at, word, slots, size, literal, core) of the windows of all readings. ``at`` counts the tokens of the reading,
     ``word`` those of the text; ``literal``: of the first reading; ``core``: a window of the reading NAMES begins at this word.
-    ``sizes``: of the windows, or None for one size by text (the samples). ``wanted``: a broadcast filter, or None for all windows."""
+    ``sizes``: of the windows, 0 for spans of ``literals`` literal words, or None for these and one size by text (the samples).
+    ``wanted``: a broadcast filter, or None for all windows."""
     rows = texts.select(F.col(id_col), F.col(text_col).alias("__text"))
     schema = T.StructType([rows.schema[id_col], *_WINDOW])
 
@@ -229,7 +243,11 @@ def _windows_of(texts: DataFrame, id_col: str, text_col: str, window: int, sizes
         """(number of the reading, size, first token, behind last token, hash) of the windows."""
         for i, stream in enumerate(streams):
             count = np.diff(stream.first)
-            for size in sizes if sizes is not None else np.unique(np.minimum(count[count >= LEAST_WORDS], window)).tolist():
+            for size in sizes if sizes is not None else [RUN, *np.unique(np.minimum(count[count >= LEAST_WORDS], window)).tolist()]:
+                if size == RUN:
+                    at, end = stream.runs(literals)
+                    yield i, size, at, end, mix(span_hashes(prefix_hashes(stream.sign), at, end), 40)
+                    continue
                 if sizes is None and i == OPENERS and size < window:
                     continue  # 'What is the capital of France?' isn't 'Rome is the capital of Italy.'
                 at, end = stream.windows(size)
@@ -310,6 +328,7 @@ def find_leaks(
     page_col: str = "page_id",
     sample_col: str = "sample_id",
     text_col: str = "text",
+    run: int = 13,
 ) -> DataFrame:
     """Pages whose recognised text holds an evaluation sample, verbatim or with other numbers, names or units.
 
@@ -324,32 +343,40 @@ def find_leaks(
     ``n_matched`` of the sample's ``n_windows`` windows stand on the page, a share of ``coverage`` or more (of all its windows, or of
     those whose template is compared, whichever share is larger), and of the sample's
     placeholder values met there a share of ``consistency`` or more always meets one and the same value of the page (1
-    without placeholders, and if ``coverage`` is reached by equal words alone); ``exact`` says that all of them meet themselves.
+    without placeholders, and if ``coverage`` is reached by equal words alone). A pair with less ``coverage`` counts as well if a
+    run with ``run`` literal words of the sample stands on the page, whatever the sample's length (``consistency`` is then that of
+    the run, if larger). ``exact`` says that all of them meet themselves.
     Null and empty texts have no windows. Repeated rows
     count once. Null ids are left out. Empty tables give an empty result. The filter and the joins take a benchmark of any size.
     """
     spark = page_texts.sparkSession
     samples = eval_samples.filter(F.col(sample_col).isNotNull())
-    asked = _windows_of(samples, sample_col, text_col, window, None, None)
+    asked = _windows_of(samples, sample_col, text_col, window, run, None, None)
     renamed = {"word": "sample_word", "at": "sample_at", "slots": "asked", sample_col: "sample_id"}
     asked = written(asked.select(*(F.col(c).alias(renamed.get(c, c)) for c in asked.columns)), "leaks-samples")
-    sizes = [r.size for r in asked.select("size").distinct().collect()]  # at most `window` of them
+    sizes = [r.size for r in asked.select("size").distinct().collect()]  # at most `window` + 1 of them
     wanted = spark.sparkContext.broadcast(_filter(asked))
     pages = page_texts.filter(F.col(page_col).isNotNull())
-    found = _windows_of(pages, page_col, text_col, window, sorted(sizes), wanted).select(F.col(page_col).alias("page_id"), "hash", "at", "slots")
-    met = written(found.join(asked.drop("size"), "hash"), "leaks-windows")
+    found = _windows_of(pages, page_col, text_col, window, run, sorted(sizes), wanted).select(F.col(page_col).alias("page_id"), "hash", "at", "slots")
+    met = written(found.join(asked, "hash"), "leaks-windows")
 
     key = ["page_id", "sample_id"]
-    total = asked.groupBy("sample_id").agg(F.countDistinct("sample_word").alias("words"), F.countDistinct(F.when(F.col("core"), F.col("sample_word"))).alias("cores"))
-    words = met.groupBy(*key, "sample_word").agg(F.max("literal").alias("literal"), F.max("core").alias("core"))
-    pairs = words.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.count_if("literal").alias("n_literal"))
+    short = F.col("size") != RUN
+    total = asked.filter(short).groupBy("sample_id").agg(F.countDistinct("sample_word").alias("words"), F.countDistinct(F.when(F.col("core"), F.col("sample_word"))).alias("cores"))
+    # of a run, the share of its own values that meet one value of the page
+    steady = "size(filter(array_distinct(asked), x -> size(array_distinct(filter(slots, (s, i) -> asked[i] = x))) = 1))"
+    steady = F.when(~short, F.coalesce(F.expr(f"try_divide({steady}, size(array_distinct(asked)))"), F.lit(1.0)))
+    marks = {"n": short, "n_core": short & F.col("core"), "n_literal": short & F.col("literal")}
+    words = met.groupBy(*key, "sample_word").agg(F.max(steady).alias("run"), *(F.max(c).alias(k) for k, c in marks.items()))
+    pairs = words.groupBy(*key).agg(F.max("run").alias("run"), *(F.count_if(k).alias(k) for k in marks))
 
     def share(part: str, of: str):
         return F.struct(F.coalesce(F.expr(f"try_divide({part}, {of})"), F.lit(0.0)).alias("share"), F.col(of).alias("of"), F.col(part).alias("part"))
 
     pairs = pairs.join(total, "sample_id").withColumn("best", F.greatest(share("n", "words"), share("n_core", "cores")))
-    pairs = pairs.withColumn("same", F.col("n_literal") / F.col("words") >= coverage).filter(F.col("best.share") >= coverage)
-    pairs = pairs.select(*key, "same", F.col("best.of").alias("n_windows"), F.col("best.part").alias("n_matched"), F.col("best.share").alias("coverage"))
+    pairs = pairs.withColumn("same", F.col("n_literal") / F.col("words") >= coverage)
+    pairs = pairs.filter((F.col("best.share") >= coverage) | (F.col("run") >= consistency))
+    pairs = pairs.select(*key, "same", "run", F.col("best.of").alias("n_windows"), F.col("best.part").alias("n_matched"), F.col("best.share").alias("coverage"))
 
     # on one diagonal the windows of a copy follow each other, so its values are told from those of another copy
     zipped = F.explode(F.arrays_zip("asked", "slots")).alias("slot")
@@ -361,7 +388,7 @@ def find_leaks(
         F.min((F.col("low") == F.col("asked")) & (F.col("high") == F.col("asked"))).alias("exact"),
     )
     out = pairs.join(agreed, key, "left").withColumns(
-        {"consistency": F.when(F.col("same"), 1.0).otherwise(F.coalesce("consistency", F.lit(1.0))), "exact": F.coalesce("exact", F.lit(True))}
+        {"consistency": F.when(F.col("same"), 1.0).otherwise(F.greatest(F.coalesce("consistency", F.lit(1.0)), "run")), "exact": F.coalesce("exact", F.lit(True))}
     )
     return out.filter(F.col("consistency") >= consistency).select(
         F.col("page_id").alias(page_col), F.col("sample_id").alias(sample_col), "n_windows", "n_matched", "coverage", "consistency", "exact"

@@ -403,3 +403,17 @@ def test_leaks_with_other_subjects(spark):
     rows = [(1, bob), (2, weekly.replace("James", "Peter")), (3, "they say " + long), (4, other), (5, weekly.replace("James", "Peter Paul"))]
     got = contamination.find_leaks(pages(spark, rows), samples(spark, [(1, tom), (2, weekly)])).collect()
     assert {(r.page_id, r.sample_id) for r in got} == {(1, 1), (2, 2), (3, 1), (5, 2)}
+
+
+def test_leaks_of_parts(spark):
+    """A run of 13 words of a long item is found, one of 12 isn't; so are runs with other figures, if they are consistent."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    figures = " ".join(w if i % 4 else str(i % 8) for i, w in enumerate(words))
+    other = " ".join(w if i % 4 else str(i % 8 + 50) for i, w in enumerate(words))
+    clash = " ".join(w if i % 4 else str(i + 50) for i, w in enumerate(words))
+    part = lambda text, a, b: "here " + " ".join(text.split()[a:b]) + " there"
+    rows = [(1, part(" ".join(words), 100, 113)), (2, part(" ".join(words), 100, 112)), (3, part(other, 200, 220)), (4, part(clash, 200, 220))]
+    rows.append((5, part(figures, 200, 210) + part(figures, 10, 20)))
+    got = contamination.find_leaks(pages(spark, rows), samples(spark, [(1, " ".join(words)), (2, figures)])).collect()
+    assert {(r.page_id, r.sample_id) for r in got} == {(1, 1), (3, 2)}
+    assert all(r.coverage < 0.5 for r in got)
