@@ -227,3 +227,23 @@ def test_pipeline_odd_rows(spark):
         stage(spark, docs, SF).write.parquet(folder)
         docs = spark.read.parquet(folder)
         assert {r.doc_id for r in docs.select("doc_id").collect()} >= {900, 901, 903}
+
+
+def test_pipeline_repeated_ids(spark):
+    """A row listed twice stays once and whole; two texts under one id keep their own text; a null id is an id like others."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(50))
+    rows = [(1, text("a")), (1, text("a")), (2, text("b")), (2, text("c") + " " + text("p")), (None, text("d")), (None, text("e") + " " + text("p"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.cut_repeated_passages, corpus_pipeline.drop_leaks):
+        folder = scratch(spark, "test-ids")
+        stage(spark, docs, SF).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    want = [(1, text("a")), (2, text("b")), (2, text("c")), (None, text("d")), (None, text("e"))]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str)
+    good = spark.read.parquet(f"{SF}/documents.parquet")
+    accepted = corpus_pipeline.drop_low_quality(spark, good, SF)
+    nulled = good.withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id")))
+    nulled = good.unionByName(nulled.filter("doc_id is null"))
+    texts = accepted.filter("doc_id % 5 = 0").select("text").collect()
+    got = corpus_pipeline.drop_low_quality(spark, nulled, SF).filter("doc_id is null").select("text").collect()
+    assert sorted(map(str, got)) == sorted(map(str, texts)) and texts
