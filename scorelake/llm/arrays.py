@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 ne
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,13 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.default_rng(20240917)
-#: One random odd number per byte value, and the base of the polynomial hashes (modulo 2**64).
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: The base of the polynomial hashes (modulo 2**64). Such hashes collide on built strings (Thue-Morse words), whatever the
+#: base, so whoever uses them verifies what they call equal by its bytes.
 BASE = 0x9E3779B97F4A7C15 | 5
+#: Powers that a worker keeps; a longer text computes its own.
+KEPT_POWERS = 1 << 20
 _INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -26,11 +30,12 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     base = _INVERSE if inverse else BASE
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << max(n - 1, 1).bit_length())
-        have = np.full(size, np.uint64(base))
+        have = np.full(max(KEPT_POWERS, n), np.uint64(base))
         have[0] = 1
-        _powers[base] = np.multiply.accumulate(have)
-    return _powers[base][:n]
+        have = np.multiply.accumulate(have)
+        if len(have) == KEPT_POWERS:
+            _powers[base] = have
+    return have[:n]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -41,6 +46,11 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the pairs (a, b) of hashes."""
+    return mix(a * np.uint64(0xC2B2AE3D27D4EB4F) + b)
+
+
 def prefix_hashes(values: np.ndarray) -> np.ndarray:
     """H with H[j] - H[i] = sum of values[t] * BASE ** t over t in [i, j)."""
     out = np.zeros(len(values) + 1, np.uint64)
@@ -109,16 +119,58 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        prefix = prefix_hashes(BYTE_VALUE[self.data])
-        return mix(span_hashes(prefix, self.start, self.end))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word: its bytes go through the finaliser eight at a time. Seeds give independent hashes."""
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64), 50 + seed)
+        eight = eights(self.data)
+        short = np.flatnonzero(size <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            short = short[size[short] > at]
+            if not len(short):
+                break
+            block = eight[self.start[short] + at]
+            beyond = np.maximum(at + 8 - size[short], 0).astype(np.uint64)
+            out[short] = combined(out[short], block >> (np.uint64(8) * beyond))
+        for i in np.flatnonzero(size > LONG_WORD):
+            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, person=b"%d" % seed)
+            out[i] = np.frombuffer(digest.digest(), np.uint64)[0]
+        return out
 
     def windows(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words of all windows of ``size`` words within one text, and the hash of each."""
+        """First words of all windows of ``size`` words within one text, and the hash of each.
+
+        Hashes of 1, 2, 4 ... words are combined, so a window costs a logarithmic number of steps.
+        """
         if len(self) < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.text[size - 1 :] == self.text[: len(self) - size + 1])
-        return at, mix(span_hashes(prefix_hashes(hashes), at, at + size))
+        level, width, whole, done = hashes, 1, None, 0
+        while True:
+            if size & width:
+                whole = level if whole is None else combined(whole[: len(level) - done], level[done:])
+                done += width
+            if 2 * width > size:
+                return at, mix(whole[at], size)
+            level = combined(level[:-width], level[width:])
+            width *= 2
+
+    def joined(self, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The texts as their words (those with the numbers ``kept``), joined by one space: bytes and offsets."""
+        data = self.data.copy()
+        kept = np.arange(len(self)) if kept is None else kept
+        change = np.bincount(self.start[kept], minlength=len(data) + 1) - np.bincount(self.end[kept], minlength=len(data) + 1)
+        keep = np.cumsum(change[:-1]) > 0
+        # the byte before any but the first kept word of a text is a break: it becomes the space
+        later = kept[1:][self.text[kept[1:]] == self.text[kept[:-1]]]
+        data[self.start[later] - 1], keep[self.start[later] - 1] = 0x20, True
+        return data[keep], np.concatenate([[0], np.cumsum(keep)])[self.offsets]
+
+    def digests(self) -> list[bytes | None]:
+        """128 bits of BLAKE2 of the words of each text, None for a text without words."""
+        data, offsets = self.joined()
+        spans = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        return [hashlib.blake2b(data[a:b], digest_size=16).digest() if b > a else None for a, b in spans]
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:

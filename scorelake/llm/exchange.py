@@ -23,7 +23,7 @@ from scorelake.llm.arrays import buffers, pieces
 from scorelake.plans.lineage import checkpoint_folder
 
 #: Bytes of text in a chunk. A longer text makes a chunk of its own.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -99,6 +99,9 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, d
             sizes = unpack(batch.column("sizes")[i].as_buffer(), np.int64)
             chunk = Chunk(ids, sizes, batch.column("body")[i].as_buffer())
             yield batch.column("chunk")[i].as_py(), chunk, {"batch": batch, "row": i}
+            # what one chunk took goes back before the next begins, so that a worker's memory is that of its largest chunk
+            del chunk, ids, sizes
+            pa.default_memory_pool().release_unused()
 
 
 def bucket_count(chunks: DataFrame, bytes_per_bucket: int, least: int = 96) -> int:
@@ -154,30 +157,34 @@ def answers_of(row: dict, name: str) -> dict[int, pa.Buffer]:
 
 
 class Keys:
-    """The distinct 64-bit keys of a chunk, by bucket: the top 32 bits choose it, the low 32 (or all) bits are sent."""
-
-    def __init__(self, keys: np.ndarray, buckets: int, width: type = np.uint32) -> None:
-        bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        if width is np.uint32:
-            sent = (bucket.astype(np.uint64) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+    """The distinct 64-bit keys of a chunk, by bucket: the top 32 bits choose it, the low 32 bits are sent, or with ``check``
+    (64 further bits of each key) all 128."""
+
+    def __init__(self, keys: np.ndarray, buckets: int, check: np.ndarray | None = None) -> None:
+        self.check: np.ndarray | None = None
+        if check is None:
+            bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
+            sent = (bucket << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
             self.sent, self.which, self.count = np.unique(sent, return_inverse=True, return_counts=True)
             bucket = (self.sent >> np.uint64(32)).astype(np.int64)
+            self.sent = self.sent.astype(np.uint32)
         else:
-            unique, which, count = np.unique(keys, return_inverse=True, return_counts=True)
-            bucket = ((unique >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            first, self.which, self.count = distinct_pairs(keys, check)
+            bucket = ((keys[first] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            self.sent, self.which, self.count, bucket = unique[order], place[which], count[order], bucket[order]
-        self.width = width
+            first, self.which, self.count, bucket = first[order], place[self.which], self.count[order], bucket[order]
+            self.sent, self.check = keys[first], check[first]
         self.extra: np.ndarray | None = None  # one byte for each distinct key, sent behind the keys
         self.buckets, at = np.unique(bucket, return_index=True)
         self.at = np.append(at, len(bucket))
 
     def questions(self) -> Iterator[tuple[int, bytes]]:
+        columns = [x for x in (self.sent, self.check, self.extra) if x is not None]
         for i, b in enumerate(self.buckets):
             mine = slice(self.at[i], self.at[i + 1])
-            yield int(b), self.sent[mine].astype(self.width).tobytes() + (b"" if self.extra is None else self.extra[mine].tobytes())
+            yield int(b), b"".join(x[mine].tobytes() for x in columns)
 
     def marked(self, answers: dict[int, pa.Buffer], part: int = 0) -> np.ndarray:
         """For each key of the constructor, its bit in the given part of the answers (first: other chunks hold it too)."""
@@ -190,18 +197,37 @@ class Keys:
         return flags[self.which]
 
 
-def shared_keys(width: type) -> Callable[[list], Iterator[bytes | None]]:
-    """A reply for ``answer``: a bit for each key, set where two chunks or more have sent it."""
-
-    def reply(bodies: list) -> Iterator[bytes | None]:
-        parts = [np.frombuffer(x, width) for x in bodies]
-        every = np.sort(np.concatenate(parts))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        for part in parts:
-            hit = np.zeros(len(part), bool)
-            if len(twice):
-                at = np.searchsorted(twice, part)
-                hit = twice[np.minimum(at, len(twice) - 1)] == part
-            yield np.packbits(hit).tobytes() if hit.any() else None
-
-    return reply
+def distinct_pairs(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first of each distinct pair (key, check), the number of each row's pair, and how often each occurs."""
+    _, first, which, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    if (check[first][which] != check).any():  # two pairs of one key
+        pair = np.empty(len(keys), [("key", np.uint64), ("check", np.uint64)])
+        pair["key"], pair["check"] = keys, check
+        _, first, which, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+    return first, which, count
+
+
+def shared_keys(bodies: list) -> Iterator[bytes | None]:
+    """A reply for ``answer``: a bit for each key of 32 bits, set where two chunks or more have sent it."""
+    parts = [np.frombuffer(x, np.uint32) for x in bodies]
+    every = np.sort(np.concatenate(parts))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    for part in parts:
+        hit = np.zeros(len(part), bool)
+        if len(twice):
+            at = np.searchsorted(twice, part)
+            hit = twice[np.minimum(at, len(twice) - 1)] == part
+        yield np.packbits(hit).tobytes() if hit.any() else None
+
+
+def shared_pairs(bodies: list) -> Iterator[bytes | None]:
+    """The same for keys with a check, which are compared by all 128 bits."""
+    size = [len(x) // 16 for x in bodies]
+    keys = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(bodies, size, strict=True)])
+    check = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(bodies, size, strict=True)])
+    _, which, count = distinct_pairs(keys, check)
+    at = 0
+    for n in size:
+        hit = count[which[at : at + n]] > 1
+        at += n
+        yield np.packbits(hit).tobytes() if hit.any() else None

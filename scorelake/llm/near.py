@@ -17,25 +17,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.arrays import Words, buffers, mix, pieces, powers, prefix_hashes, span_hashes
+from scorelake.llm.arrays import Words, buffers, combined, mix, pieces
 from scorelake.llm.exchange import written
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
-def shingle_elements(words: Words, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_elements(words: Words, size: int, digests: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) of every unit of weight, sorted: the j-th occurrence of a shingle in a text has a key of its own.
 
-    A text of fewer than ``size`` words, but one at least, has one shingle of all its words.
+    A text of fewer than ``size`` words, but one at least, has one shingle of all its words. ``digests``: of ``words``.
     """
-    hashes = words.hashes()
-    at, key = words.windows(size, hashes)
+    at, key = words.windows(size, words.hashes())
     text = words.text[at]
     count = np.diff(words.first)
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
-        first = words.first[short]
-        whole = mix(span_hashes(prefix_hashes(hashes), first, first + count[short]))
+        whole = np.array([int.from_bytes(digests[i][:8], "little") for i in short], np.uint64)
         text, key = np.concatenate([text, short]), np.concatenate([key, whole])
     order = np.lexsort((key, text))
     text, key = text[order], key[order]
@@ -88,7 +86,10 @@ def dart_signatures(text: np.ndarray, key: np.ndarray, n: int, size: int) -> np.
 def band_hashes(signatures: np.ndarray, bands: int) -> np.ndarray:
     n, size = signatures.shape
     parts = mix(signatures.reshape(n, bands, size // bands), 13)
-    return mix((parts * powers(size // bands)).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    out = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64), 14), (n, bands))
+    for row in range(size // bands):
+        out = combined(out, parts[:, :, row])
+    return out
 
 
 def signatures_of(page_texts: DataFrame, bands: int, rows: int, shingle: int, page_col: str, text_col: str) -> DataFrame:
@@ -100,15 +101,9 @@ def signatures_of(page_texts: DataFrame, bands: int, rows: int, shingle: int, pa
         for batch in batches:
             for piece in pieces(batch, "text", SLICE_BYTES):
                 words = Words(*buffers(piece.column("text")))
-                n, hashes = piece.num_rows, words.hashes()
-                whole = np.zeros((n, 2), np.uint64)
-                for i in (0, 1):
-                    prefix = prefix_hashes(mix(hashes, 20 + i))
-                    whole[:, i] = mix(span_hashes(prefix, words.first[:-1], words.first[1:]), 30 + i)
-                empty = np.diff(words.first) == 0
-                raw = whole.tobytes()
-                key = pa.array([None if e else raw[16 * i : 16 * i + 16] for i, e in enumerate(empty)], pa.binary())
-                signature = dart_signatures(*shingle_elements(words, shingle, n), n, bands * rows)
+                n, digests = piece.num_rows, words.digests()
+                key = pa.array(digests, pa.binary())
+                signature = dart_signatures(*shingle_elements(words, shingle, digests), n, bands * rows)
                 flat = pa.array(band_hashes(signature, bands).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays([piece.column("page_id"), key, lists], names=["page_id", "key", "bands"])
@@ -123,7 +118,8 @@ def _shingle_keys(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", SLICE_BYTES):
-                text, key = shingle_elements(Words(*buffers(piece.column("text"))), shingle, piece.num_rows)
+                words = Words(*buffers(piece.column("text")))
+                text, key = shingle_elements(words, shingle, words.digests())
                 key = key[np.lexsort((key, text))]
                 ends = np.searchsorted(text, np.arange(piece.num_rows + 1))
                 rows = [key[ends[i] : ends[i + 1]].tobytes() for i in range(piece.num_rows)]

@@ -3,7 +3,7 @@
 Only windows that begin at cover positions of a text are compared first. The cover holds every difference modulo
 its period, so two equal windows of ``window`` words, wherever they stand, share an aligned anchor: at some shift below
 the period both have a cover position, and from there ``window - period + 1`` words are equal. Windows around an anchor
-that occurs twice are then extended to their full length and compared by their hash.
+that occurs twice are then extended to their full length and compared by 128 bits of two independent hashes of all words.
 """
 
 from __future__ import annotations
@@ -16,7 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from scorelake.llm.arrays import Words, covered, mix, strings
-from scorelake.llm.exchange import Chunk, Keys, answer, answers_of, ask, bucket_count, chunks_of, shared_keys, with_answers, write_chunks, written
+from scorelake.llm.exchange import (
+    Chunk,
+    Keys,
+    answer,
+    answers_of,
+    ask,
+    bucket_count,
+    chunks_of,
+    shared_keys,
+    shared_pairs,
+    with_answers,
+    write_chunks,
+    written,
+)
 
 #: Perfect difference covers: every number modulo the period is a difference of two members. Fixed values.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -36,7 +49,7 @@ class _Passages:
     def __init__(self, chunk: Chunk, window: int) -> None:
         self.window, self.period = window, cover_for(window)[0]
         self.chunk, self.words = chunk, Words(chunk.data, chunk.offsets)
-        self.hashes = self.words.hashes()
+        self.hashes = self.words.hashes(0)
 
     def anchors(self, buckets: int) -> Keys:
         cover = np.zeros(self.period, bool)
@@ -56,7 +69,8 @@ class _Passages:
         starts, hashes = self.words.windows(self.window, self.hashes)
         held = before[starts + self.period] > before[starts]
         self.starts = starts[held]
-        return Keys(mix(hashes[held], 2), buckets, np.uint64)
+        check = self.words.windows(self.window, self.words.hashes(1))[1]
+        return Keys(mix(hashes[held], 2), buckets, check[held])
 
     def repeated(self, buckets: int, first: dict, second: dict) -> np.ndarray:
         """For each word, whether a window that occurs again covers it."""
@@ -66,15 +80,7 @@ class _Passages:
 
     def without(self, removed: np.ndarray, kind: pa.DataType) -> pa.Array:
         """The texts as their kept words, joined by one space."""
-        w, data = self.words, self.chunk.data.copy()
-        kept = np.flatnonzero(~removed)
-        change = np.bincount(w.start[kept], minlength=len(data) + 1) - np.bincount(w.end[kept], minlength=len(data) + 1)
-        keep = np.cumsum(change[:-1]) > 0
-        # the byte before any but the first kept word of a text is a break: it becomes the space
-        later = kept[1:][w.text[kept[1:]] == w.text[kept[:-1]]]
-        data[w.start[later] - 1], keep[w.start[later] - 1] = 0x20, True
-        ends = np.concatenate([[0], np.cumsum(keep)])[self.chunk.offsets]
-        return strings(data[keep], ends, kind)
+        return strings(*self.words.joined(np.flatnonzero(~removed)), kind)
 
 
 def remove_repeated_passages(page_texts: DataFrame, window: int = 35, page_col: str = "page_id", text_col: str = "text") -> DataFrame:
@@ -86,9 +92,10 @@ def remove_repeated_passages(page_texts: DataFrame, window: int = 35, page_col:
 
     Returns (page_id, n_words, n_removed, text), text being the kept words joined by one space. A null or empty text has
     no words and stays as an empty text. Texts of fewer than ``window`` words lose nothing. A page that is listed twice
-    counts as two texts. An empty table gives an empty result. One text has to fit a task's memory (about 60 times its size).
-    Windows are compared by 64 bits of hash within their bucket, so about ``n ** 2 / 2 ** 65 / buckets`` pairs of n windows
-    can be taken for equal by accident.
+    counts as two texts. An empty table gives an empty result. One text has to fit a task's memory (about 40 times its size).
+    Windows are compared by 128 bits: two hashes of all their words' bytes, mixed without a polynomial, so that words built to
+    collide under one are nothing special to it. Of n windows about ``n ** 2 / 2 ** 129`` pairs can be taken for equal by
+    accident, 1e-11 for 1e14 windows.
     """
     chunks = write_chunks(page_texts, page_col, text_col, "passages")
     buckets = bucket_count(chunks, 64 << 20)
@@ -99,9 +106,9 @@ def remove_repeated_passages(page_texts: DataFrame, window: int = 35, page_col:
     def extended(_: int, chunk: Chunk, row: dict) -> Iterator[tuple[int, bytes]]:
         yield from _Passages(chunk, window).extended(buckets, answers_of(row, "anchors")).questions()
 
-    first = written(answer(ask(chunks, anchors), shared_keys(np.uint32)), "passages-anchors")
+    first = written(answer(ask(chunks, anchors), shared_keys), "passages-anchors")
     known = with_answers(chunks, first, "anchors")
-    second = written(answer(ask(known, extended), shared_keys(np.uint64)), "passages-windows")
+    second = written(answer(ask(known, extended), shared_pairs), "passages-windows")
     known = with_answers(known, second, "windows")
 
     schema = T.StructType(

@@ -417,3 +417,29 @@ def test_leaks_of_parts(spark):
     got = contamination.find_leaks(pages(spark, rows), samples(spark, [(1, " ".join(words)), (2, figures)])).collect()
     assert {(r.page_id, r.sample_id) for r in got} == {(1, 1), (3, 2)}
     assert all(r.coverage < 0.5 for r in got)
+
+
+def thue_morse(n, a, b):
+    out = [a]
+    other = [b]
+    while len(out) < n:
+        out, other = out + other, other + out
+    return out
+
+
+def test_words_built_to_collide(spark):
+    """Strings that every polynomial modulo 2**64 takes for equal, as letters of one word and as words of one text."""
+    one, two = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    lead = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{lead} {one}"), (2, f"{lead} {two}"), (3, one), (4, two)]
+    rows += [(5, " ".join(thue_morse(1024, "x", "y"))), (6, " ".join(thue_morse(1024, "y", "x")))]
+    assert not any(r.n_removed for r in passages.remove_repeated_passages(pages(spark, rows[:4])).collect())
+    got = sorted((r.page_id, r.n_words, r.n_removed, r.text) for r in passages.remove_repeated_passages(pages(spark, rows)).collect())
+    assert got == slow_passages(rows, 35)
+    cut = [(r.page_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in overlaps.remove_overlaps(pages(spark, rows)).collect()]
+    assert sorted(cut) == slow_overlaps(rows, 50)
+    classes = {r.page_id: r.class_id for r in near.near_duplicates(pages(spark, rows[2:4] + [(7, one)])).collect()}
+    assert classes == {3: 3, 4: 4, 7: 3}
+    samples = spark.createDataFrame([(1, f"{lead} {one}")], "sample_id bigint, text string")
+    found = contamination.find_leaks(pages(spark, [(3, one), (4, two), (8, f"{lead} {one}")]), samples)
+    assert {r.page_id for r in found.collect()} == {8}
