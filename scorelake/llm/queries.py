@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import archives, chat, contamination, links, near, overlaps, packing, passages, quality, rules
+from scorelake.llm import archives, chat, codes, contamination, links, near, overlaps, packing, passages, prefixes, quality, rules, token_files
 from scorelake.llm.exchange import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +199,111 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     linked = chat.link_tool_calls(messages, TURN_SCHEMAS)
     return linked.withColumn("errors", F.array_join("errors", "; ")).drop("n_calls", "n_results")
+
+
+@query("op11_token_files")
+def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch(spark, "token-files")
+    token_files.write_token_files(page_texts(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    back = token_files.read_token_files(spark, folder)
+    return back.select(F.col("page_id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _assigned(codebook: str) -> str:
+    """SQL for the first nearest entry of each part, given the entries in a table."""
+    return f"""
+  SELECT n, part, min_by(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+    SELECT v.n, v.part, c.entry, sum((v.x - c.c) ** 2)::HUGEINT AS d FROM v JOIN {codebook} c USING (part, pos) GROUP BY v.n, v.part, c.entry)
+  GROUP BY n, part"""
+
+
+def _replaced(assigned: str, codebook: str) -> str:
+    """SQL for the floored means of the parts of each entry."""
+    return f"""
+  SELECT part, entry, pos, coalesce(m.c, b.c) AS c FROM {codebook} b LEFT JOIN (
+    SELECT part, entry, pos, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS c
+    FROM v JOIN {assigned} USING (n, part) GROUP BY part, entry, pos) m USING (part, entry, pos)"""
+
+
+@query(
+    "op12_vector_codes",
+    f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS n, vec_id, label, embedding, len(embedding) // 16 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (
+  SELECT n, (i - 1) // w AS part, (i - 1) % w AS pos, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM (SELECT n, w, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+c0 AS (SELECT part, n - 1 AS entry, pos, x AS c FROM v WHERE n <= 64),
+a0 AS MATERIALIZED ({_assigned("c0")}),
+c1 AS MATERIALIZED ({_replaced("a0", "c0")}),
+a1 AS MATERIALIZED ({_assigned("c1")}),
+c2 AS MATERIALIZED ({_replaced("a1", "c1")}),
+a2 AS MATERIALIZED ({_assigned("c2")}),
+e AS (SELECT n, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY n),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM e JOIN kept USING (n) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c2) AS codebooks_sha256
+FROM e JOIN kept USING (n) JOIN l ON l.label IS NOT DISTINCT FROM kept.label""",
+)
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    columns = ["vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(made.digest()).alias("codebooks_sha256")]
+    return made.codes.select(*columns)
+
+
+@query(
+    "op13_prefix_trie",
+    r"""
+WITH crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i)),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS own FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, own, xor(list_reduce(
+           list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+           lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1])), 4294967295) % 4 AS h
+  FROM o CROSS JOIN crc),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(list_slice(b.own, 1, h.h), []), coalesce(list_slice(h.own, h.h + 1, len(h.own)), [])) AS turns
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, turns, d::BIGINT AS depth, list_slice(turns, 1, d) AS p FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (
+  SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256
+  FROM m GROUP BY depth, p),
+k AS (SELECT depth - 1 AS depth, list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+s AS (
+  SELECT n.*, coalesce(k.n_children, 0)::BIGINT AS n_children,
+         CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.p[-1].text, '[^ 	-
+]+')) END AS saved
+  FROM n LEFT JOIN k USING (depth, p)),
+u AS (
+  SELECT a.depth, a.p, count_if(b.n_children = 0)::BIGINT AS n_leaves, sum(b.saved)::BIGINT AS saved_tokens
+  FROM s a JOIN s b ON b.depth >= a.depth AND list_slice(b.p, 1, a.depth) = a.p GROUP BY a.depth, a.p)
+SELECT s.conv_id, s.depth, q.conv_id AS parent_conv_id, s.n_convs, s.n_children, u.n_leaves, u.saved_tokens, s.ends_sha256
+FROM s JOIN u USING (depth, p) LEFT JOIN n q ON q.depth = s.depth - 1 AND q.p = list_slice(s.p, 1, s.depth - 1)""",
+)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as scores, turns as lines; each is an edition of the first of its twenty."""
+    lines = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumnsRenamed({"conv_id": "score_id", "turn": "line_idx"})
+    score = F.col("score_id")
+    head = F.crc32(score.cast("string").cast("binary")) % 4
+    editions = lines.select("score_id").distinct().select(score, (score - score % 20).alias("base_id"), head.alias("head"))
+    trie = prefixes.score_prefix_trie(lines, editions)
+    nodes = trie.nodes.join(prefixes.ends_digests(trie.ends), "node_id", "left")
+    return nodes.select(
+        score.alias("conv_id"),
+        "depth",
+        F.col("parent_score_id").alias("parent_conv_id"),
+        F.col("n_scores").alias("n_convs"),
+        "n_children",
+        "n_leaves",
+        F.col("saved_words").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
