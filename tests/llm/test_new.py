@@ -79,9 +79,9 @@ def test_file_round_trip(n):
     r = np.random.default_rng(n)
     ids = np.minimum(r.pareto(0.4, n) * 3, 49999).astype(np.uint32)
     lengths = token_files.code_lengths(np.bincount(ids))
-    raw = token_files.write_file(77, pa.array(["a", None]), np.array([1, n - 1]), ids, lengths) + token_files.END.encode()
+    raw = token_files.write_file(3, 77, pa.array(["a", None]), np.array([1, n - 1]), ids, lengths) + token_files.END.encode()
     file = token_files.TokenFile(raw)
-    assert (file.ids() == ids).all() and file.start == 77 and file.pages.to_pylist() == ["a", None]
+    assert (file.ids() == ids).all() and (file.part, file.before) == (3, 77) and file.pages.to_pylist() == ["a", None]
     for first, count in ((0, 1), (n // 2, n - n // 2), (n - 1, 1), (min(300, n - 1), 1)):
         assert (file.ids(first, count) == ids[first : first + count]).all()
     with pytest.raises(token_files.TokenFileError):
@@ -111,9 +111,25 @@ def test_token_files_of_odd_rows(spark):
     back = token_files.read_token_files(spark, folder).collect()
     got = sorted([(x.page_id, x.start, x.n_tokens, zlib.crc32(x.ids)) for x in back], key=lambda x: x[1])
     assert got == slow_tokens(rows)
-    files = sorted(f for f in os.listdir(folder.removeprefix("file:")) if f.startswith("part"))
-    starts = [token_files.TokenFile(open(os.path.join(folder.removeprefix("file:"), f), "rb").read()).start for f in files if os.path.getsize(os.path.join(folder.removeprefix("file:"), f))]
-    assert len(starts) > 3 and starts == sorted(starts)
+    at = os.path.join(folder.removeprefix("file:"), "files")
+    raw = [open(os.path.join(at, f), "rb").read() for f in sorted(os.listdir(at)) if f.startswith("part")]
+    found = [token_files.TokenFile(x) for x in raw if x]
+    places = [(f.part, f.before) for f in found]
+    assert len(found) > 3 and places == sorted(places)
+    assert [p for f in found for p in f.pages.to_pylist()] == [x[0] for x in slow_tokens(rows)]
+
+
+def test_units_give_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_UNITS", 40)
+    whole = tokenizers.Tokenizer.from_file(BPE)
+    coder = token_files.Coder(BPE)
+    assert coder.cuts
+    r = random.Random(6)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\x0b", "\x1c", "\x85", "a", "don't", "'s", "it's", "12", "3.5", "日本", "é", "!?", "\U0001f600", "<|endoftext|>", "X'll"]
+    for _ in range(60):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(9)]
+        got = coder.encode(texts)
+        assert [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files_of_an_empty_table(spark):
