@@ -21,6 +21,11 @@ from scorelake.llm.arrays import Words, buffers, combined, mix, pieces
 from scorelake.llm.exchange import written
 
 SLICE_BYTES = 1 << 20
+#: How often the pages of a bucket are compared with one page of a drawn class, at most; the comparisons end earlier once fewer
+#: than one in TURN_LINKS of them links. What they leave apart is searched exactly.
+TURNS, TURN_LINKS = 8, 20
+#: Bits of a text's marks in the exact search.
+BITS = 1024
 
 
 def shingle_elements(words: Words, size: int, digests: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +160,8 @@ def _possible_pairs(rest: DataFrame, keys: DataFrame, similarity: tuple[int, int
     Shingles are ordered from rare to frequent. Similar texts share one of the first shingles of both (as many as may
     differ, and one), and what follows the first shared one bounds all they have in common; so does, more closely, what
     follows the last one shared among these. Among many copies with edits of their own the edits come first, so nearly
-    all pairs fall to these bounds.
+    all pairs fall to these bounds. A third bound holds where the rare shingles are shared by chance: a text carries a bit
+    for each of its shingles, by hash, and every bit that only one of two texts has stands for a shingle that the other lacks.
     """
     over, under = similarity
     schema = rest.schema.add("token", "long").add("n", "integer")
@@ -167,16 +173,30 @@ def _possible_pairs(rest: DataFrame, keys: DataFrame, similarity: tuple[int, int
                 ids = batch.select(["page_id", "label"]).take(pa.array(np.full(len(key), i)))
                 yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(key), pa.array(np.full(len(key), len(key), np.int32))], names=schema.names)
 
-    words = rest.join(keys, "page_id").select("page_id", "label", "keys").dropDuplicates(["page_id"])
-    words = written(words.mapInArrow(tokens, schema), "near-tokens")
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.zeros((batch.num_rows, BITS // 64), np.uint64)
+            for i in range(batch.num_rows):
+                bit = mix(np.frombuffer(batch.column("keys")[i].as_buffer(), np.uint64), 21) % np.uint64(BITS)
+                np.bitwise_or.at(rows[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (BITS // 64))
+            lists = pa.ListArray.from_arrays(ends, pa.array(rows.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), lists], names=["page_id", "bits"])
+
+    texts = rest.join(keys, "page_id").select("page_id", "label", "keys").dropDuplicates(["page_id"])
+    texts = written(texts, "near-texts")
+    words = written(texts.mapInArrow(tokens, schema), "near-tokens")
+    marks = texts.select("page_id", "keys").mapInArrow(bits, rest.select("page_id").schema.add("bits", T.ArrayType(T.LongType())))
     counts = words.groupBy("token").agg(F.count("*").alias("texts"))
     order = Window.partitionBy("page_id").orderBy("texts", "token")
     ranked = words.join(counts, "token").withColumn("at", F.row_number().over(order) - 1)
-    head = written(ranked.filter(F.col("at") * under <= F.col("n") * (under - over)), "near-heads")
+    ranked = ranked.filter(F.col("at") * under <= F.col("n") * (under - over)).join(marks, "page_id")
+    head = written(ranked, "near-heads")
     first = head.filter("texts > 1")
-    left = first.select("token", F.col("page_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    right = first.select("token", F.col("page_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    left = first.select("token", F.col("page_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("bits").alias("ba"))
+    right = first.select("token", F.col("page_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("bits").alias("bb"))
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, c: n + c)
+    most = F.least(F.col("na") - F.greatest("pa", alone("ba", "bb")), F.col("nb") - F.greatest("pb", alone("bb", "ba")))
     may = most * (over + under) >= (F.col("na") + F.col("nb")) * over
     met = left.join(right, "token").filter((F.col("la") < F.col("lb")) & may)
     met = met.select(F.greatest("a", "b").alias("p"), F.least("a", "b").alias("q")).distinct()
@@ -245,7 +265,8 @@ def near_duplicates(
 
     How partners are found: pages that share one of ``bands`` bands of ``rows`` coordinates form a bucket; at the default a pair
     of similarity 0.8 shares one with probability 0.9999. In a bucket all pages are compared with the smallest page, then
-    those outside its class with the smallest of theirs. Pages of buckets that still hold several classes are then searched
+    some times with a page of a class drawn by hash, as long as that links classes: so a large group of near copies becomes
+    one class in few comparisons. Pages of buckets that still hold several classes are then searched
     exactly for similar pairs (``_possible_pairs``). So no cap drops a partner.
     """
     over, under = similarity
@@ -269,22 +290,25 @@ def near_duplicates(
     labels = components(first.filter(similar).select("a", "b"))
 
     def in_classes(labels: DataFrame) -> DataFrame:
-        """Rows of ``buckets`` with their class, in buckets of several classes."""
-        named = buckets.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+        """Rows (band, a) of ``buckets`` with their class, in buckets of several classes."""
+        named = buckets.join(labels.withColumnRenamed("node", "a"), "a", "left").select("band", "a", F.coalesce("label", "a").alias("label"))
         mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        own = labels.select(F.col("node").alias("leader"), F.col("label").alias("of_leader"))
-        named = named.join(mixed.select("band"), "band", "left_semi").join(own, "leader", "left")
-        return named.withColumn("of_leader", F.coalesce("of_leader", "leader"))
-
-    outside = in_classes(labels).filter("label <> of_leader").select("band", "a")
-    second_of = outside.groupBy("band").agg(F.min("a").alias("b"))
-    pairs = outside.join(second_of, "band").filter("a <> b").select("a", "b").distinct()
-    second = written(_measured(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), keys), "near-pairs")
-    labels = _linked(labels, second.filter(similar).select("a", "b"))
+        return named.join(mixed.select("band"), "band", "left_semi")
+
+    known = first.select("a", "b")
+    for turn in range(TURNS):
+        mixed = written(in_classes(labels), "near-mixed")
+        pivot = mixed.groupBy("band").agg(F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), "label", "a")).alias("pivot"))
+        pairs = mixed.join(pivot, "band").filter(F.col("label") != F.col("pivot.label")).select("a", F.col("pivot.a").alias("b")).distinct()
+        again = written(_measured(pairs.join(known, ["a", "b"], "left_anti"), keys), "near-pairs")
+        found = again.agg(F.count("*").alias("pairs"), F.count_if(similar).alias("links")).first()
+        labels = _linked(labels, again.filter(similar).select("a", "b"))
+        known = known.union(again.select("a", "b"))
+        if TURN_LINKS * found.links < found.pairs or not found.pairs:
+            break
 
     rest = written(in_classes(labels).select(F.col("a").alias("page_id"), "label").distinct(), "near-rest")
     pairs = _possible_pairs(rest, keys, similarity)
-    known = first.select("a", "b").union(second.select("a", "b"))
     third = written(_measured(pairs.join(known, ["a", "b"], "left_anti"), keys), "near-pairs")
     labels = _linked(labels, third.filter(similar).select("a", "b"))
     return member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
