@@ -12,6 +12,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import zstandard
@@ -36,16 +37,23 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _encoded(text: str) -> str:
+    """``text`` in one header line: blanks, control characters and what ends an id are percent-encoded, and so are per cent signs."""
+    return re.sub(r"[\x00-\x20\x7f-\x9f%<>\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
+
+
 def record(page_id, url: str | None, body: bytes, refers_to=None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """A response record, or with ``refers_to`` a revisit record, which keeps the HTTP header and drops the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + body
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {ID.format(page_id)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}"]
+    if page_id is not None:
+        head.append(f"WARC-Record-ID: {ID.format(_encoded(str(page_id)))}")
     head += [f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest(body)}"]
     head += [f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {ID.format(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {ID.format(_encoded(str(refers_to)))}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -143,7 +151,7 @@ def parse_record(raw: bytes) -> dict:
     said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     if kind == "response" and (len(payload) != int(size[1]) or digest(payload) != said):
         raise ArchiveError("a payload doesn't match its length or digest")
-    page = lambda name: (m := re.fullmatch(r"<urn:page:(.*)>", fields.get(name, ""), re.S)) and m[1]
+    page = lambda name: (m := re.fullmatch(r"<urn:page:(.*)>", fields.get(name, ""), re.S)) and unquote(m[1])
     return {
         "page_id": page("warc-record-id"),
         "url": fields.get("warc-target-uri"),
@@ -163,7 +171,8 @@ def archive_pages(
     ``page_files``: (``page_id``, ``url``, ``body`` text or binary), one row per page; other columns are dropped. Of rows
     with equal bodies of ``revisit_bytes`` or more, that with the largest ``page_id`` becomes the response record and the
     others revisit it; all smaller ones are responses. Null bodies are empty payloads, null URLs become about:blank.
-    Rows that repeat page and body are responses each. An empty table writes no archive. ``folder`` must not exist.
+    Ids of any text are percent-encoded where a header needs it and read back as they were; a row without ``page_id`` makes a record without
+    an id. Rows that repeat page and body are responses each. An empty table writes no archive. ``folder`` must not exist.
     """
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
     rows = page_files.select(F.col(page_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("body"))

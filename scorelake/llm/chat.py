@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.exchange import written
+from scorelake.plans.skew import ordered
 
 #: JSON types by the name that Spark gives to a variant's type.
 TYPE_NAMES = {
@@ -27,6 +28,28 @@ TYPE_NAMES = {
 }
 
 
+#: The tokens of a JSON text outside its strings: numbers, and all between.
+TOKENS = "-?[0-9][0-9.eE+-]*|[^0-9-]+|-"
+
+
+def canonical_numbers(text: Column) -> Column:
+    """JSON text with equal numbers written alike: as plain decimals where 20 digits before and 18 behind the point hold them
+    exactly (as a double does), otherwise as Spark writes the double; a number of digits only stays as it is."""
+
+    def number(token: Column) -> Column:
+        fixed, double = token.try_cast("decimal(38,18)"), token.try_cast("double")
+        plain = F.regexp_replace(F.regexp_replace(fixed.cast("string"), r"\.?0+$", ""), "^-0$", "0")
+        exact = F.coalesce(fixed.cast("double") == double, F.lit(False))
+        return F.when(token.rlike("^-?[0-9]+$"), F.when(token == "-0", "0").otherwise(token)).when(exact, plain).otherwise(double.cast("string"))
+
+    # quotes that aren't escaped part the text: what stands at odd places is inside a string
+    marked = F.regexp_replace(text, r"\\.", "\u0000$0")
+    parts = F.split(marked, '(?<!\u0000\\\\)"')
+    tokens = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(TOKENS), F.lit(0)), lambda t: F.when(t.rlike("^-?[0-9]"), F.coalesce(number(t), t)).otherwise(t)), "")
+    alike = F.transform(parts, lambda x, i: F.when(i % 2 == 0, tokens(x)).otherwise(F.translate(x, "\u0000", "")))
+    return F.array_join(alike, '"')
+
+
 def argument_errors(name: Column, arguments: Column, schemas: Mapping[str, Mapping]) -> Column:
     """What is wrong with the arguments (JSON text) of a call, as an array of texts in a fixed order.
 
@@ -87,19 +110,22 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
     content of a call is the JSON text of its arguments and ``after_id`` names a call that has to come before it; other
     columns are dropped. ``schemas``: as in ``argument_errors``.
 
-    Returns one row per call id: (conv_id, call_id, turn, result_turn, name, depth, status, n_calls, n_results, errors, json).
-    Rows are in order of (conv_id, depth, turn, call_id): a call follows the one it names. ``depth`` counts the calls before
+    Returns one row per call id: (conv_id, position, call_id, turn, result_turn, name, depth, status, n_calls, n_results, errors, json).
+    ``position`` numbers the rows of a conversation by (depth, turn, result_turn, call_id), null last: a call follows the one it names. ``depth`` counts the calls before
     it along ``after_id``; a reference to no call of the conversation counts as none, and calls in a cycle of
     references, or behind one, have a null depth. ``status``: linked, open (a call without result) or orphan (a result without call).
-    ``json`` is canonical: keys in order, no spaces; arguments that aren't JSON stand there as text.
+    ``json`` is canonical: keys in order, no spaces, equal numbers alike (``canonical_numbers``); arguments that aren't JSON stand there as text.
 
-    A null call_id makes a message an id of its own, ``#`` and its turn. Of several calls, or results, with one id the first by
+    A null call_id makes a message an id of its own, ``#`` and its turn (``#`` alone if that is null, too), which links to nothing, also if another
+    message bears that name. Of several calls, or results, with one id the first by
     (turn, content) counts, and ``n_calls`` and ``n_results`` tell. Messages without conv_id or of another kind are
     left out. A null content of a call isn't JSON; that of a result is a null. Empty tables give an empty result.
     """
+    # given ids and those made here can't meet: "=a" is a given one, "#c5" a call's own
+    own = F.concat(F.lit("#"), F.substring("kind", 1, 1), F.coalesce(F.col("turn").cast("string"), F.lit("")))
     rows = messages.filter(F.col("conv_id").isNotNull()).select(
-        "conv_id", "turn", "kind", F.coalesce(F.col("call_id").cast("string"), F.concat(F.lit("#"), "turn")).alias("id"), "name", "content",
-        F.col("after_id").cast("string").alias("after"),
+        "conv_id", "turn", "kind", F.coalesce(F.concat(F.lit("="), F.col("call_id").cast("string")), own).alias("id"), "name", "content",
+        F.concat(F.lit("="), F.col("after_id").cast("string")).alias("after"),
     )
     order = F.struct("turn", "content")
     calls = (
@@ -117,14 +143,15 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
 
     arguments = F.col("call.content")
     errors = F.when(F.col("call").isNull(), F.array(F.lit("call: missing"))).otherwise(argument_errors(F.col("call.name"), arguments, schemas))
-    body = F.coalesce(F.try_parse_json(arguments), arguments.cast("variant"))
+    body = F.coalesce(F.try_parse_json(F.when(F.try_parse_json(arguments).isNotNull(), canonical_numbers(arguments))), arguments.cast("variant"))
+    shown = F.when(F.col("id").startswith("="), F.substr("id", F.lit(2))).otherwise(F.concat(F.lit("#"), F.substr("id", F.lit(3))))
     record = F.struct(
-        body.alias("arguments"), F.col("id").alias("id"), F.col("call.name").alias("name"), F.col("result.content").alias("result")
+        body.alias("arguments"), shown.alias("id"), F.col("call.name").alias("name"), F.col("result.content").alias("result")
     )
     status = F.when(F.col("call").isNull(), "orphan").when(F.col("result").isNull(), "open").otherwise("linked")
-    return linked.select(
+    out = linked.select(
         "conv_id",
-        F.col("id").alias("call_id"),
+        shown.alias("call_id"),
         F.col("call.turn").alias("turn"),
         F.col("result.turn").alias("result_turn"),
         F.col("call.name").alias("name"),
@@ -135,3 +162,7 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
         errors.alias("errors"),
         F.to_json(record, {"ignoreNullFields": "false"}).alias("json"),
     )
+    last = F.lit(2**63 - 1)
+    by = [F.coalesce("depth", last), F.coalesce(F.col("turn").cast("long"), last), F.coalesce(F.col("result_turn").cast("long"), last), F.col("call_id")]
+    out = ordered(written(out, "chat-linked"), ["conv_id"], by, number="position")
+    return out.select("conv_id", "position", *(c for c in out.columns if c not in ("conv_id", "position")))

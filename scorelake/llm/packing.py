@@ -15,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.llm.exchange import written
+
+#: Copies of one row that are numbered at a time.
+COPIES = 1 << 16
 PACKED = ("bin_id", "capacity", "used", "piece", "first_token", "n_tokens", "place")
 
 
@@ -71,26 +75,30 @@ def pack_sequences(
     ``score_tokens``: (``score_id``, ``n_tokens``), one row per score; other columns are dropped. Each sequence ends with
     ``separator`` further tokens; one that is longer than the largest capacity is cut into pieces of that length and a rest.
     A training sequence of length c costs c + ``overhead``. A shard holds about ``shard_rows`` pieces; their number
-    follows the input, and which shard a piece goes to hangs on its score and piece only.
+    follows the input, and which shard a piece goes to hangs on its score, its count, its piece and the number of its copy only.
 
     Returns one row per piece: (score_id, bin_id, capacity, used, piece, first_token, n_tokens, place): the bin, its
     permitted length after downsizing, the tokens in it, and the piece's number, first token, length (with separator)
     and place in the bin. Null and negative counts stand for no tokens: with a separator such a score takes one place,
-    without one it gives no row. A score that is listed twice is packed twice. An empty table gives an empty result.
+    without one it gives no row. A score that is listed several times (null, too) is packed as often; such rows are numbered and spread over
+    the shards. An empty table gives an empty result.
     """
     if not capacities or min(capacities) < 1 or separator < 0:
         raise ValueError("capacities must be positive and the separator not negative")
     most = max(capacities)
     size = F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)), F.lit(0)) + separator
+    # equal rows are counted, written once, and numbered again: a score that very many rows name doesn't meet in one shard
+    sizes = score_tokens.select(F.col(score_col), size.alias("__size")).filter("__size > 0")
+    sizes = written(sizes.groupBy(score_col, "__size").agg(F.count(F.lit(1)).alias("__copies")), "packing-sizes")
+    first = F.col("__block") * COPIES
     pieces = (
-        score_tokens.select(F.col(score_col), size.alias("__size"))
-        .filter("__size > 0")
+        sizes.withColumn("__block", F.explode(F.sequence(F.lit(0), F.expr(f"(__copies - 1) div {COPIES}"))))
+        .withColumn("__copy", F.explode(F.sequence(first, F.least(first + COPIES, "__copies") - 1)))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((__size - 1) div {most} as int)"))))
         .withColumn("first_token", F.col("piece").cast("long") * most)
         .withColumn("n_tokens", F.least(F.lit(most), F.col("__size") - F.col("first_token")).cast("long"))
-        .drop("__size")
     )
-    total = score_tokens.select(size.alias("s")).agg(F.coalesce(F.sum(F.ceil(F.col("s") / most)), F.lit(0))).first()[0]
+    total = sizes.agg(F.coalesce(F.sum(F.ceil(F.col("__size") / most) * F.col("__copies")), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // shard_rows))
     schema = score_tokens.select(score_col).schema
     for name in PACKED:
@@ -115,5 +123,6 @@ def pack_sequences(
         columns |= {c: table.column(c) for c in kept[1:]} | {"place": pa.array(place)}
         return pa.table(columns)
 
-    dealt = pieces.withColumn("__key", F.xxhash64(score_col, "piece")).withColumn("shard", F.pmod(F.col("__key"), F.lit(shards)))
+    dealt = pieces.withColumn("__key", F.xxhash64(score_col, "__size", "piece", "__copy")).drop("__size", "__copies", "__block", "__copy")
+    dealt = dealt.withColumn("shard", F.pmod(F.col("__key"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(pack, schema)

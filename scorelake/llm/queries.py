@@ -174,7 +174,10 @@ d AS (
   SELECT c.conv_id, c.turn, 0 AS depth FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.after WHERE p.turn IS NULL
   UNION ALL
   SELECT c.conv_id, c.turn, d.depth + 1 FROM d JOIN c ON c.conv_id = d.conv_id AND c.after = d.turn)
-SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, CAST(coalesce(c.turn, r.id) AS VARCHAR) AS call_id, c.turn AS turn, r.turn AS result_turn,
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id,
+       row_number() OVER (PARTITION BY coalesce(c.conv_id, r.conv_id) ORDER BY d.depth NULLS LAST, c.turn NULLS LAST, r.turn NULLS LAST,
+                          CAST(coalesce(c.turn, r.id) AS VARCHAR))::INT AS position,
+       CAST(coalesce(c.turn, r.id) AS VARCHAR) AS call_id, c.turn AS turn, r.turn AS result_turn,
        c.role AS name, d.depth::BIGINT AS depth,
        CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'open' ELSE 'linked' END AS status,
        CASE WHEN c.turn IS NULL THEN 'call: missing' WHEN c.role = 'system' THEN 'scope: missing' WHEN c.role = 'user' THEN ''

@@ -247,3 +247,43 @@ def test_pipeline_repeated_ids(spark):
     texts = accepted.filter("doc_id % 5 = 0").select("text").collect()
     got = corpus_pipeline.drop_low_quality(spark, nulled, SF).filter("doc_id is null").select("text").collect()
     assert sorted(map(str, got)) == sorted(map(str, texts)) and texts
+
+
+def test_tool_call_ids_and_numbers(spark):
+    columns = "conv_id bigint, turn int, kind string, call_id string, name string, content string, after_id string"
+    numbers = ["1e2", "100.0", "100", "1.0E+2", "0.10", "1e-1", "-0.0", "0", "1e30", "10e29", "12345678901234567890123", "1e-20", "0.1e-19"]
+    rows = [(1, i, "call", f"n{i}", "stop", f'{{"b": [{x}, "1e2 \\" 1.0"], "a": {x}}}', None) for i, x in enumerate(numbers)]
+    rows += [(2, 5, "call", "#5", "stop", "{}", None), (2, 5, "result", None, None, "no id", None), (2, 6, "call", None, "stop", "{}", None)]
+    rows += [(2, 6, "result", None, None, "not its result", None), (2, None, "call", None, "stop", "{}", None), (2, None, "result", None, None, "", None)]
+    out = chat.link_tool_calls(spark.createDataFrame(rows, columns), SCHEMAS).collect()
+    shown = {x.call_id: json.loads(x.json, parse_float=str, parse_int=str)["arguments"] for x in out if x.conv_id == 1}
+    value = [shown[f"n{i}"]["a"] for i in range(len(numbers))]
+    assert all(shown[f"n{i}"] == {"a": v, "b": [v, '1e2 " 1.0']} for i, v in enumerate(value))
+    assert len(set(value[:4])) == len(set(value[4:6])) == len(set(value[6:8])) == len(set(value[8:10])) == len(set(value[11:13])) == 1
+    assert value[0] == "100" and value[4] == "0.1" and value[6] == "0" and value[10] == numbers[10] and float(value[11]) == 1e-20
+    two = sorted((x.call_id, x.status, x.position) for x in out if x.conv_id == 2)
+    assert [x[:2] for x in two] == [("#", "open"), ("#", "orphan"), ("#5", "open"), ("#5", "orphan"), ("#6", "open"), ("#6", "orphan")]
+    assert sorted(x[2] for x in two) == [1, 2, 3, 4, 5, 6] and {x for x in two if x[2] < 4} == {("#5", "open", 1), ("#6", "open", 2), ("#", "open", 3)}
+
+
+def test_archive_ids_of_any_text(spark):
+    ids = ["x>\r\nWARC-Type: x", "%41", "a b", "é日 ", "", "<>", None, "None", "5"]
+    rows = [(p, "u", f"body {i}") for i, p in enumerate(ids)] + [("other\n", "u", "body 0"), (None, "u", "body 1")]
+    df = spark.createDataFrame(rows, "page_id string, url string, body string")
+    folder = scratch(spark, "test-archives")
+    archives.archive_pages(df, folder)
+    got = sorted((x.page_id, x.record_type, x.refers_to) for x in archives.read_archives(spark, folder).collect() if x.page_id is not None)
+    largest = max("other\n", ids[0])
+    assert [x[0] for x in got] == sorted([p for p in ids if p is not None] + ["other\n"])
+    assert {x for x in got if x[1] == "revisit"} == {(min("other\n", ids[0]), "revisit", largest)}
+    rest = [x for x in archives.read_archives(spark, folder).collect() if x.page_id is None]
+    assert sorted((x.record_type, x.refers_to) for x in rest) == [("response", None), ("revisit", "%41")]
+
+
+def test_packing_spreads_one_score(spark):
+    rows = [(None, 7)] * 3000 + [(i, 7) for i in range(500)] + [(3, 9000)] * 40
+    df = spark.createDataFrame(rows, "score_id bigint, n_tokens bigint")
+    got = packing.pack_sequences(df, (512, 1024), shard_rows=100).collect()
+    assert sum(x.n_tokens for x in got) == sum(n + 1 for _, n in rows) and sum(x.score_id is None for x in got) == 3000
+    shards = np.unique([x.bin_id >> 32 for x in got], return_counts=True)[1]
+    assert shards.max() < 200
