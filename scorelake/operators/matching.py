@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import box
 from scorelake.functions.lcs import lcs_length
 from scorelake.operators.sequences import long_lcs
-from scorelake.plans.greedy import greedy_pairs
+from scorelake.plans.greedy import crowded, greedy_pairs
 from scorelake.plans.skew import FOLD_ROWS, Hot, islands, measure
 from scorelake.plans.spatial import touching
 
@@ -63,7 +63,7 @@ def match_boxes(
 ) -> DataFrame:
     """Greedy one-to-one pairs by falling overlap, ties by truth then prediction index."""
     edges = box_edges(gt, pred, keys, iou, same_kind, tile).withColumn("_o", -F.col("w"))
-    pairs = greedy_pairs(edges, keys, ["_o", "gi", "pi"], hot)
+    pairs = greedy_pairs(edges, keys, ["_o", "gi", "pi"], hot or crowded(gt, pred, keys))
     return pairs.withColumnsRenamed({"gi": "gt_idx", "pi": "pred_idx", "w": "iou"})
 
 
@@ -268,7 +268,7 @@ def mean_best_iou(
     keys = list(keys)
     tiny = 5e-324  # any overlap above zero
     edges = box_edges(gt, pred, keys, tiny, False, tile).withColumn("_o", -F.col("w"))
-    pairs = greedy_pairs(edges, keys, ["gi", "_o", "pi"], hot)
+    pairs = greedy_pairs(edges, keys, ["gi", "_o", "pi"], hot or crowded(gt, pred, keys))
     total = pairs.groupBy(*keys).agg(F.sum("w").alias("_sum"))
     out = side_counts(gt, pred, keys).join(total, keys, "left")
     mean = F.when(F.col("n_gt") > 0, F.coalesce("_sum", F.lit(0.0)) / F.col("n_gt")).otherwise(0.0)

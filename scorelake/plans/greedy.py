@@ -1,76 +1,87 @@
 """One-to-one matching in a total order of the candidate edges.
 
-Box matching by overlap, in-order matching by distance and best-remaining
-matching are the same problem: walk the edges in a fixed order and take an edge
-when both ends are free. Ordinary keys are folded over one bounded sorted array.
-For hot keys the same set is found in rounds: an edge that comes first at both
-its ends is certainly taken, so all such edges are taken at once and their ends
-removed. Both give the same pairs because the order is total.
+Box matching by overlap, in-order matching by distance and best-remaining matching are the same problem: walk the edges
+in a fixed order and take an edge when both ends are free. The edges of a key are sorted on disk and walked as a stream, so a
+task remembers the ends that are taken but never holds the edges, however many a pile of boxes has. What a key's walk
+decides in one connected component doesn't touch another, so the hot keys are dealt out by component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scorelake.plans.components import components
 from scorelake.plans.lineage import cut
-from scorelake.plans.skew import FOLD_ROWS, Hot, measure
-
-
-def _fold(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    edge = F.struct(*order, *[c for c in ("gi", "pi", "w") if c not in order])
-    lists = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(edge)).alias("e"))
-    types = dict(edges.dtypes)
-    empty = F.array().cast(f"array<struct<gi:{types['gi']},pi:{types['pi']},w:double>>")
-
-    def step(acc, e):
-        taken = F.exists(acc, lambda o: (o["gi"] == e["gi"]) | (o["pi"] == e["pi"]))
-        pick = F.array(
-            F.struct(e["gi"].alias("gi"), e["pi"].alias("pi"), e["w"].cast("double").alias("w"))
-        )
-        return F.when(taken, acc).otherwise(F.concat(acc, pick))
-
-    return (
-        lists.select(*keys, F.explode(F.aggregate("e", empty, step)).alias("m"))
-        .select(*keys, "m.gi", "m.pi", "m.w")
-    )
-
-
-def _rounds(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rank = F.struct(*order, *[c for c in ("gi", "pi") if c not in order])
-    left = cut(edges.withColumn("_k", rank))
-    done = []
-    while not left.isEmpty():
-        best_g = left.groupBy(*keys, "gi").agg(F.min("_k").alias("_k"))
-        best_p = left.groupBy(*keys, "pi").agg(F.min("_k").alias("_k"))
-        first = best_g.select(*keys, "_k").join(best_p.select(*keys, "_k"), keys + ["_k"])
-        picked = cut(left.join(first, keys + ["_k"], "left_semi").select(*keys, "gi", "pi", "w"))
-        done.append(picked)
-        left = cut(
-            left.join(picked, keys + ["gi"], "left_anti").join(picked, keys + ["pi"], "left_anti")
-        )
-    if not done:
-        return edges.select(*keys, "gi", "pi", F.col("w").cast("double").alias("w")).limit(0)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.withColumn("w", F.col("w").cast("double"))
-
-
-def greedy_pairs(edges: DataFrame, keys: Sequence[str], order: Sequence[str], hot: Hot | None = None) -> DataFrame:
-    """Pairs (gi, pi, w) taken from ``edges`` in ``order``.
-
-    What one task folds is a key's edges, so these are counted: a few ends on one spot
-    can have very many. The edges are written once, for the count and the fold.
-    """
+from scorelake.plans.skew import Hot, measure
+
+#: Boxes of one key, on both sides together, whose edges one task may walk.
+WALK_BOXES = 200_000
+
+
+def _breaks(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Rows whose key is another than that of the row before."""
+    new = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for name in keys:
+        codes = batch.column(name).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new) + 1
+
+
+def _ends(column: pa.Array) -> list:
+    """The ends of edges as values that a set can hold."""
+    return [repr(x) for x in column.to_pylist()] if pa.types.is_nested(column.type) else column.to_pylist()
+
+
+def _walk(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    by = [*order, *(c for c in ("gi", "pi") if c not in order)]
+    columns = [*keys, "gi", "pi", "w"]
+    rows = edges.withColumn("w", F.col("w").cast("double")).repartition(*keys).sortWithinPartitions(*keys, *by).select(*columns)
+    schema = T.StructType([rows.schema[c] for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, truths, guesses = None, set(), set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, p = _ends(batch.column("gi")), _ends(batch.column("pi"))
+            taken = []
+            ends = [0, *_breaks(batch, keys).tolist(), batch.num_rows]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                key = tuple(batch.column(c)[a].as_py() for c in keys) if a == 0 else None
+                if a or key != last:
+                    truths, guesses = set(), set()
+                for i in range(a, b):
+                    if g[i] not in truths and p[i] not in guesses:
+                        truths.add(g[i])
+                        guesses.add(p[i])
+                        taken.append(i)
+            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in keys)
+            yield pa.RecordBatch.from_arrays([pc.take(x, pa.array(taken, pa.int64())) for x in batch.columns], names=columns)
+
+    return rows.mapInArrow(run, schema)
+
+
+def crowded(gt: DataFrame, pred: DataFrame, keys: Sequence[str]) -> Hot:
+    """The keys with too many boxes for one walk, from the key columns of both sides."""
+    return measure(gt.select(*keys).unionByName(pred.select(*keys)), keys, WALK_BOXES)
+
+
+def greedy_pairs(edges: DataFrame, keys: Sequence[str], order: Sequence[str], hot: Hot) -> DataFrame:
+    """Pairs (gi, pi, w) taken from ``edges`` in ``order``, ties by (gi, pi). ``hot``: the keys of ``crowded``."""
     keys, order = list(keys), list(order)
-    if hot is None:
-        edges = cut(edges)
-        hot = measure(edges, keys, FOLD_ROWS)
     if hot.table is None:
-        return _fold(edges, keys, order)
+        return _walk(edges, keys, order)
     edges = hot.tag(edges)
-    cold = _fold(edges.where(~F.col("_hot")).drop("_hot"), keys, order)
-    return cold.unionByName(_rounds(edges.where("_hot").drop("_hot"), keys, order))
+    node = lambda side: F.xxhash64(*keys, F.lit(side), F.col(side))  # equal hashes only join components, which is harmless
+    heavy = cut(edges.where("_hot").drop("_hot").withColumns({"_a": node("gi"), "_b": node("pi")}))
+    label = components(heavy, "_a", "_b").select(F.col("node").alias("_a"), F.col("label").alias("_part"))
+    heavy = heavy.join(label, "_a").drop("_a", "_b")
+    cold = edges.where(~F.col("_hot")).drop("_hot").withColumn("_part", F.lit(0).cast("bigint"))
+    return _walk(cold.unionByName(heavy), [*keys, "_part"], order).drop("_part")

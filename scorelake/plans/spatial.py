@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.plans.skew import attach_row
+
 WIDE = 64  # tiles along one side from which a box is not cut into tiles
 LEVELS = 6  # nearest search: tile sizes tile * 4**level, then the whole key
 STEP = 4
@@ -41,7 +43,7 @@ def touching(
     )
 
     def tiled(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, wide_in: list[int], small_in: int) -> DataFrame:
-        wide = (x2 - x1 > WIDE * tile) | (y2 - y1 > WIDE * tile)
+        wide = ~((x2 - x1 <= WIDE * tile) & (y2 - y1 <= WIDE * tile))  # also if a side is infinite or no number
         grid = F.flatten(F.transform(_span(x1, x2, tile), lambda x: F.transform(_span(y1, y2, tile), lambda y: cell(0, x, y))))
         cells = F.when(wide, F.array(*[cell(lv) for lv in wide_in])).otherwise(F.concat(grid, F.array(cell(small_in))))
         return df.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c")
@@ -64,17 +66,26 @@ def touching(
     )
 
 
-def _cells(boxes: DataFrame, tile: float, with_top: bool) -> DataFrame:
-    """Every tile a box covers, at every level."""
-    top = LEVELS if with_top else LEVELS - 1
-    out = boxes.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    size = F.lit(float(tile)) * F.pow(F.lit(float(STEP)), F.col("_lv"))
-    whole = F.col("_lv") == LEVELS
-    one = F.array(F.lit(0).cast("bigint"))
-    x = F.when(whole, one).otherwise(_span(F.col("r.x1"), F.col("r.x2"), size))
-    out = out.withColumn("_tx", F.explode(x))
-    y = F.when(whole, one).otherwise(_span(F.col("r.y1"), F.col("r.y2"), size))
-    return out.withColumn("_ty", F.explode(y))
+def _level(x1: Column, y1: Column, x2: Column, y2: Column, tile: float) -> Column:
+    """The finest level on which a box covers 2x2 tiles at most; ``LEVELS`` (the whole key) if there is none."""
+    side, out = F.greatest(x2 - x1, y2 - y1), F.lit(LEVELS)
+    for level in reversed(range(LEVELS)):
+        out = F.when(side <= float(tile) * STEP**level, level).otherwise(out)
+    return out
+
+
+def _size(tile: float) -> Column:
+    return F.lit(float(tile)) * F.pow(F.lit(float(STEP)), F.col("_lv"))
+
+
+def _cells(boxes: DataFrame, tile: float) -> DataFrame:
+    """The tiles of a box from its own level up, 2x2 at most on each; ``_own``: on its own level."""
+    out = boxes.withColumn("_at", _level(F.col("r.x1"), F.col("r.y1"), F.col("r.x2"), F.col("r.y2"), tile))
+    out = out.withColumn("_lv", F.explode(F.sequence("_at", F.lit(LEVELS))))
+    whole, one = F.col("_lv") == LEVELS, F.array(F.lit(0).cast("bigint"))
+    out = out.withColumn("_tx", F.explode(F.when(whole, one).otherwise(_span(F.col("r.x1"), F.col("r.x2"), _size(tile)))))
+    out = out.withColumn("_ty", F.explode(F.when(whole, one).otherwise(_span(F.col("r.y1"), F.col("r.y2"), _size(tile)))))
+    return out.withColumn("_own", F.col("_lv") == F.col("_at")).drop("_at")
 
 
 def near(
@@ -83,38 +94,41 @@ def near(
     """Pairs (``l``, ``r``) that are sure to hold the nearest right box of each left point.
 
     The left point is (``px``, ``py``); distance is any norm of the edge distances
-    between the larger of the two (max) and their sum. The finest level whose 3x3
-    tiles around the point hold a box bounds the distance by four tiles, so the
-    3x3 tiles one level up hold every box that can be nearer. Tile counts are
-    pre-aggregated; the whole key is searched only when all levels are empty.
+    between the larger of the two (max) and their sum. A box lives on the finest level where it covers at most
+    2x2 tiles and is listed from there up, so its rows don't grow with its size, and one without end belongs to the
+    whole key. The finest level whose 3x3 tiles around the point hold a listed box bounds the distance by four tiles, so the
+    3x3 tiles one level up hold every box listed there that can be nearer; larger ones are met around the point on their own
+    levels, as far as any box lives there. Tiles are pre-aggregated, each with its eight neighbours, so a point asks for one tile a
+    level; the whole key is searched only when all levels are empty, or for a point that isn't finite.
     """
     keys = list(keys)
-    l = left.select(*keys, F.struct(*left.columns).alias("l"))
+    l = left.select(*keys, F.struct(*left.columns).alias("l"), F.col("px").alias("_px"), F.col("py").alias("_py"))
     r = right.select(*keys, F.struct(*right.columns).alias("r"))
-    cells = _cells(r, tile, True)
-    taken = cells.where(F.col("_lv") < LEVELS).select(*keys, "_lv", "_tx", "_ty").distinct()
+    cells = _cells(r, tile)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spot = [*keys, "_lv", "_tx", "_ty"]
 
-    def ring(df: DataFrame) -> DataFrame:
-        size = F.lit(float(tile)) * F.pow(F.lit(float(STEP)), F.col("_lv"))
+    def tiles(df: DataFrame, by: Column) -> DataFrame:
+        """The tile of the point, or each of the nine tiles around it, on the level ``_lv``."""
         whole = F.col("_lv") == LEVELS
-        return (
-            df.withColumn("_d", F.explode(F.when(whole, F.slice(around, 1, 1)).otherwise(around)))
-            .withColumn(
-                "_tx", F.when(whole, 0).otherwise(F.floor(F.col("l.px") / size) + F.col("_d.i"))
-            )
-            .withColumn(
-                "_ty", F.when(whole, 0).otherwise(F.floor(F.col("l.py") / size) + F.col("_d.j"))
-            )
-            .drop("_d")
-        )
-
-    probe = ring(l.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))))
-    found = probe.join(taken.withColumn("_hit", F.lit(1)), keys + ["_lv", "_tx", "_ty"], "left")
-    level = found.groupBy(*keys, "l").agg(
-        F.least(
-            F.coalesce(F.min(F.when(F.col("_hit") == 1, F.col("_lv"))) + 1, F.lit(LEVELS)),
-            F.lit(LEVELS),
-        ).alias("_lv")
+        x = F.when(whole, 0).otherwise(F.floor(F.col("_px") / _size(tile)) + by["i"])
+        y = F.when(whole, 0).otherwise(F.floor(F.col("_py") / _size(tile)) + by["j"])
+        return df.withColumns({"_tx": x.cast("bigint"), "_ty": y.cast("bigint")})
+
+    taken = cells.where(F.col("_lv") < LEVELS).select(*spot).distinct().withColumn("_d", F.explode(around))
+    taken = taken.select(*keys, "_lv", (F.col("_tx") + F.col("_d.i")).alias("_tx"), (F.col("_ty") + F.col("_d.j")).alias("_ty")).distinct()
+    finite = (F.abs("_px") < float("inf")) & (F.abs("_py") < float("inf"))
+    probe = l.withColumn("_lv", F.explode(F.when(finite, F.sequence(F.lit(0), F.lit(LEVELS - 1))).otherwise(F.array(F.lit(LEVELS)))))
+    found = tiles(probe, F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))).join(taken.withColumn("_hit", F.lit(True)), spot, "left")
+    level = found.groupBy(*keys, "l", "_px", "_py").agg(F.least(F.coalesce(F.min(F.when(F.col("_hit"), F.col("_lv"))) + 1, F.lit(LEVELS)), F.lit(LEVELS)).alias("_lv"))
+    # levels on which boxes live that the search above doesn't list
+    homes = attach_row(level, cells.where("_own and _lv > 1").agg(F.array_sort(F.collect_set("_lv")).alias("_homes")))
+    wanted = F.concat(
+        F.array(F.struct("_lv", F.lit(False).alias("_own"))),
+        F.transform(F.filter("_homes", lambda h: h > F.col("_lv")), lambda h: F.struct(h.alias("_lv"), F.lit(True).alias("_own"))),
     )
-    return ring(level).join(cells, keys + ["_lv", "_tx", "_ty"]).select(*keys, "l", "r")
+    asked = homes.withColumn("_w", F.explode(wanted)).select(*keys, "l", "_px", "_py", "_w.*")
+    asked = asked.withColumn("_d", F.explode(F.when(F.col("_lv") == LEVELS, F.slice(around, 1, 1)).otherwise(around)))
+    asked = tiles(asked, F.col("_d")).drop("_d")
+    listed = cells.withColumn("_own", F.explode(F.when(F.col("_own") & (F.col("_lv") > 1), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return asked.join(listed, [*spot, "_own"]).select(*keys, "l", "r")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.lcs import common_length
 from scorelake.operators import bands, labels, matching, rerun, scores, splits, textlines
 from scorelake.operators.sequences import long_lcs
-from scorelake.plans import skew
+from scorelake.plans import skew, spatial
 from scorelake.plans.spatial import near, touching
 
 
@@ -259,3 +259,88 @@ def test_no_default_drops_rows(spark):
     assert max(len(r.message) for r in got) > 300
     capped = problems.collect_problems(scores_, measures, notes, regions, warnings, max_polluted=12, max_warnings=8).collect()
     assert len(capped) == 12
+
+
+def plain_pairs(edges):
+    truths, guesses, out = set(), set(), []
+    for w, g, p in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
+        if g not in truths and p not in guesses:
+            truths.add(g)
+            guesses.add(p)
+            out.append((g, p))
+    return sorted(out)
+
+
+BOX = "sample_id string, layer string, box_idx int, kind string, x1 double, y1 double, x2 double, y2 double"
+
+
+def count_jobs(spark, run):
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "counted")
+    out = run()
+    n = len(sc.statusTracker().getJobIdsForGroup("counted"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return out, n
+
+
+@pytest.mark.parametrize("shape", ["pile", "chain"])
+def test_crowds_of_boxes_in_a_fixed_number_of_jobs(spark, shape):
+    """Thousands of equal boxes, or boxes that each overlap the next, take no job more than others."""
+    def make(n, shift):
+        step = 0.0 if shape == "pile" else 7.0
+        return spark.range(n).select(
+            F.lit("p").alias("sample_id"), F.lit("L3").alias("layer"), F.col("id").cast("int").alias("box_idx"), F.lit("").alias("kind"),
+            (F.col("id") * step + shift).alias("x1"), F.lit(0.0).alias("y1"), (F.col("id") * step + shift + 10).alias("x2"), F.lit(10.0).alias("y2"),
+        )
+
+    n = 1500 if shape == "pile" else 10_000
+    many, jobs = count_jobs(spark, lambda: matching.match_boxes(make(n, 0.0), make(n, 2.0), iou=0.2).collect())
+    assert len(many) == n and all(r.gt_idx == r.pred_idx for r in many)
+    assert jobs <= 12  # the count of the keys, and the exchanges of one query
+
+
+def test_crowded_keys_are_dealt_out_by_component(spark, monkeypatch):
+    from scorelake.plans import greedy
+
+    r = random.Random(31)
+    make = lambda: [("p", "L3", i, "", x, y, x + r.choice([4.0, 9.0]), y + 6.0) for i in range(50) for x, y in [(float(r.randint(0, 60)), float(r.randint(0, 30)))]]
+    gt, pred = make(), make()
+    L, R = spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX)
+
+    def iou(a, b):
+        w, h = min(a[6], b[6]) - max(a[4], b[4]), min(a[7], b[7]) - max(a[5], b[5])
+        both = max(w, 0) * max(h, 0)
+        return both / ((a[6] - a[4]) * (a[7] - a[5]) + (b[6] - b[4]) * (b[7] - b[5]) - both)
+
+    want = plain_pairs([(iou(a, b), a[2], b[2]) for a in gt for b in pred if iou(a, b) >= 0.1])
+    for limit in (greedy.WALK_BOXES, 60):
+        monkeypatch.setattr(greedy, "WALK_BOXES", limit)
+        assert rows(matching.match_boxes(L, R, iou=0.1), "gt_idx", "pred_idx") == want
+
+
+def test_components(spark):
+    from scorelake.plans.components import components
+
+    links = [(i, i + 1) for i in range(40)] + [(400, 401), (401, 402), (500, 500)] + [(600, i) for i in range(601, 640)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 400 for i in (400, 401, 402)}, 500: 500, **{i: 600 for i in range(600, 640)}}
+
+
+def test_nearest_among_boxes_of_any_size(spark):
+    """Boxes of 10**7 pixels and without end cost a few rows and are found; so are points that aren't finite."""
+    r = random.Random(32)
+    inf = float("inf")
+    make = lambda i, size: (0, i, x := r.uniform(-9e4, 9e4), y := r.uniform(-2e3, 2e3), x + r.uniform(0, size), y + r.uniform(0, size / 9))
+    right = [make(i, r.choice([0, 5, 70, 900, 20_000])) for i in range(120)] + [make(200, 1e7), (1, 201, 5e6, 0.0, inf, 9.0), (1, 202, -1e9, -1e7, 1e7, -5e6)]
+    points = [(k, i, r.uniform(-2e5, 2e5), r.uniform(-9e3, 9e3)) for k in (0, 1, 2) for i in range(60)] + [(1, 99, inf, 0.0), (0, 98, 1e12, -1e12)]
+    R = spark.createDataFrame(right, "k int, i int, x1 double, y1 double, x2 double, y2 double")
+    L = spark.createDataFrame(points, "k int, i int, px double, py double")
+    dx = F.greatest(F.lit(0.0), F.col("r.x1") - F.col("l.px"), F.col("l.px") - F.col("r.x2"))
+    dy = F.greatest(F.lit(0.0), F.col("r.y1") - F.col("l.py"), F.col("l.py") - F.col("r.y2"))
+    got = near(L, R, ["k"], tile=16.0).groupBy("k", F.col("l.i").alias("i")).agg(F.min(dx + dy).alias("d")).collect()
+    edge = lambda a, b: max(0, b[2] - a[2], a[2] - b[4]) + max(0, b[3] - a[3], a[3] - b[5])
+    want = {(a[0], a[1]): min(edge(a, b) for b in right if b[0] == a[0]) for a in points if a[0] < 2}
+    assert {(x.k, x.i): x.d for x in got if x.i != 99} == pytest.approx({k: v for k, v in want.items() if k[1] != 99})
+    assert {(x.k, x.i) for x in got} == set(want)
+    listed = spatial._cells(R.select("k", F.struct(*R.columns).alias("r")), 16.0)
+    assert max(x["count"] for x in listed.groupBy("r.i").count().collect()) <= 4 * (spatial.LEVELS + 1)
