@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +28,36 @@ from scorelake.plans.lineage import checkpoint_folder
 CHUNK_BYTES = 1 << 20
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared checkpoint folder."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+_passing: ContextVar[str | None] = ContextVar("passing", default=None)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str, stays: bool = False) -> str:
+    """A new folder in the session's shared checkpoint folder. ``stays``: also beyond ``passing``."""
+    return f"{(not stays and _passing.get()) or checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is written inside goes to one folder, which is deleted at the end, but for what is said to stay."""
+    folder = scratch(spark, name)
+    token = _passing.set(folder)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back, so that no later step runs it again."""
-    folder = scratch(df.sparkSession, name)
+    folder = scratch(df.sparkSession, name, stays)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def pack(values: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else np.ascontiguousarray(values).data)
+def pack(values: np.ndarray | bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(values if isinstance(values, bytes) else np.ascontiguousarray(values).data)
 
 
 def unpack(blob, dtype=None):
@@ -82,7 +100,7 @@ def write_chunks(texts: DataFrame, id_col: str, text_col: str, name: str) -> Dat
                         pa.array([len(data)], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                         pa.array([pack(np.diff(offsets))], pa.binary()),
-                        pa.array([pack(data)], pa.binary()),
+                        pa.array([pack(data, 3)], pa.binary()),  # shuffled with every pass
                     ],
                     names=["chunk", "n_bytes", "ids", "sizes", "body"],
                 )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.llm.arrays import Words, buffers, combined, mix, pieces
-from scorelake.llm.exchange import written
+from scorelake.llm.exchange import passing, written
 
 SLICE_BYTES = 1 << 20
 #: How often the pages of a bucket are compared with one page of a drawn class, at most; the comparisons end earlier once fewer
@@ -26,6 +26,8 @@ SLICE_BYTES = 1 << 20
 TURNS, TURN_LINKS = 8, 20
 #: Bits of a text's marks in the exact search.
 BITS = 1024
+#: Shingles before a common one that are looked through for another common one.
+BEFORE = 16
 
 
 def shingle_elements(words: Words, size: int, digests: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,15 +192,17 @@ def _possible_pairs(rest: DataFrame, keys: DataFrame, similarity: tuple[int, int
     counts = words.groupBy("token").agg(F.count("*").alias("texts"))
     order = Window.partitionBy("page_id").orderBy("texts", "token")
     ranked = words.join(counts, "token").withColumn("at", F.row_number().over(order) - 1)
-    ranked = ranked.filter(F.col("at") * under <= F.col("n") * (under - over)).join(marks, "page_id")
+    # a pair comes out at its first common token: not where one of the tokens just before is common, too
+    before = F.collect_list(F.when(F.col("texts") > 1, F.col("token"))).over(order.rowsBetween(-BEFORE, -1))
+    ranked = ranked.withColumn("before", before).filter(F.col("at") * under <= F.col("n") * (under - over)).join(marks, "page_id")
     head = written(ranked, "near-heads")
     first = head.filter("texts > 1")
-    left = first.select("token", F.col("page_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("bits").alias("ba"))
-    right = first.select("token", F.col("page_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("bits").alias("bb"))
+    left = first.select("token", F.col("page_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("bits").alias("ba"), F.col("before").alias("qa"))
+    right = first.select("token", F.col("page_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("bits").alias("bb"), F.col("before").alias("qb"))
     alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, c: n + c)
     most = F.least(F.col("na") - F.greatest("pa", alone("ba", "bb")), F.col("nb") - F.greatest("pb", alone("bb", "ba")))
     may = most * (over + under) >= (F.col("na") + F.col("nb")) * over
-    met = left.join(right, "token").filter((F.col("la") < F.col("lb")) & may)
+    met = left.join(right, "token").filter((F.col("la") < F.col("lb")) & may & ~F.arrays_overlap("qa", "qb"))
     met = met.select(F.greatest("a", "b").alias("p"), F.least("a", "b").alias("q")).distinct()
     lists = head.groupBy("page_id", "n").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("h"))
     lists = lists.select("page_id", "n", F.transform("h", lambda x: x["token"]).alias("h"))
@@ -243,41 +247,11 @@ def _linked(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return written(known.union(top.join(labels, "node", "left_anti").select("node", "label")), "near-labels")
 
 
-def near_duplicates(
-    page_texts: DataFrame,
-    similarity: tuple[int, int] = (4, 5),
-    bands: int = 24,
-    rows: int = 5,
-    shingle: int = 5,
-    page_col: str = "page_id",
-    text_col: str = "text",
+def _classes(
+    page_texts: DataFrame, member: DataFrame, similarity: tuple[int, int], shingle: int, page_col: str, text_col: str
 ) -> DataFrame:
-    """Classes of pages whose recognised texts are copies or near copies of each other.
-
-    ``page_texts``: (``page_id`` of an integer type, ``text``), one row per page; other columns are dropped. Two pages are
-    linked if the weighted Jaccard similarity of their shingles of ``shingle`` words (a text with fewer words is one
-    shingle) is ``similarity`` (a fraction) or more; a class is what links connect. Texts of the same words form one node.
-
-    Returns (page_id, class_id), one row per row of ``page_texts``; ``class_id`` is the smallest page_id of the class. Null
-    and empty texts have no shingles and stand alone, under their own id. A page listed twice is in its class twice (with two texts, the
-    classes of both are one). A null
-    page_id is in the class of the pages with its words, or has a null class. An empty table gives an empty result.
-
-    How partners are found: pages that share one of ``bands`` bands of ``rows`` coordinates form a bucket; at the default a pair
-    of similarity 0.8 shares one with probability 0.9999. In a bucket all pages are compared with the smallest page, then
-    some times with a page of a class drawn by hash, as long as that links classes: so a large group of near copies becomes
-    one class in few comparisons. Pages of buckets that still hold several classes are then searched
-    exactly for similar pairs (``_possible_pairs``). So no cap drops a partner.
-    """
+    """(node, label): the class of each page of ``member`` that is linked to another, the smallest of the class."""
     over, under = similarity
-    signed = written(signatures_of(page_texts, bands, rows, shingle, page_col, text_col), "near-signatures")
-    owners = signed.filter("key is not null").groupBy("key").agg(F.min("page_id").alias("rep"))
-    # written, as AQE splits a large group of copies (on the left side) only beside a plain scan
-    owners = written(owners, "near-owners")
-    member = written(
-        signed.join(owners, "key", "left").select("page_id", "rep", F.when(F.col("page_id") == F.col("rep"), F.col("bands")).alias("bands")),
-        "near-members",
-    )
     banded = member.filter("bands is not null").select(F.col("rep").alias("a"), F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.min("a").alias("leader"), F.max("a").alias("last")).filter("last > leader").drop("last")
     buckets = written(banded.join(groups, "band").distinct(), "near-buckets")
@@ -311,6 +285,43 @@ def near_duplicates(
     pairs = _possible_pairs(rest, keys, similarity)
     third = written(_measured(pairs.join(known, ["a", "b"], "left_anti"), keys), "near-pairs")
     labels = _linked(labels, third.filter(similar).select("a", "b"))
+    return labels
+
+
+def near_duplicates(
+    page_texts: DataFrame,
+    similarity: tuple[int, int] = (4, 5),
+    bands: int = 24,
+    rows: int = 5,
+    shingle: int = 5,
+    page_col: str = "page_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Classes of pages whose recognised texts are copies or near copies of each other.
+
+    ``page_texts``: (``page_id`` of an integer type, ``text``), one row per page; other columns are dropped. Two pages are
+    linked if the weighted Jaccard similarity of their shingles of ``shingle`` words (a text with fewer words is one
+    shingle) is ``similarity`` (a fraction) or more; a class is what links connect. Texts of the same words form one node.
+
+    Returns (page_id, class_id), one row per row of ``page_texts``; ``class_id`` is the smallest page_id of the class. Null
+    and empty texts have no shingles and stand alone, under their own id. A page listed twice is in its class twice (with two texts, the
+    classes of both are one). A null
+    page_id is in the class of the pages with its words, or has a null class. An empty table gives an empty result.
+
+    How partners are found: pages that share one of ``bands`` bands of ``rows`` coordinates form a bucket; at the default a pair
+    of similarity 0.8 shares one with probability 0.9999. In a bucket all pages are compared with the smallest page, then
+    some times with a page of a class drawn by hash, as long as that links classes: so a large group of near copies becomes
+    one class in few comparisons. Pages of buckets that still hold several classes are then searched
+    exactly for similar pairs (``_possible_pairs``). So no cap drops a partner.
+    """
+    with passing(page_texts.sparkSession, "near"):
+        signed = written(signatures_of(page_texts, bands, rows, shingle, page_col, text_col), "near-signatures")
+        owners = signed.filter("key is not null").groupBy("key").agg(F.min("page_id").alias("rep"))
+        # written, as AQE splits a large group of copies (on the left side) only beside a plain scan
+        owners = written(owners, "near-owners")
+        member = signed.join(owners, "key", "left").select("page_id", "rep", F.when(F.col("page_id") == F.col("rep"), F.col("bands")).alias("bands"))
+        member = written(member, "near-members", stays=True)
+        labels = written(_classes(page_texts, member, similarity, shingle, page_col, text_col), "near-classes", stays=True)
     return member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("page_id").alias(page_col), F.coalesce("label", "rep", "page_id").alias("class_id")
     )
