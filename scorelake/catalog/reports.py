@@ -119,10 +119,29 @@ UNION ALL SELECT sample_id, 'L4', 'unavailable', 0, 0, 0, 0, 0, 0.0, 0.0, 0.0 FR
 UNION ALL SELECT sample_id, 'L5', 'unavailable', 0, 0, 0, 0, 0, 0.0, 0.0, 0.0 FROM f WHERE gtn = 0 AND ptn = 0"""
 
 
-@query("compare_samples", E4_SQL)
+BASIS = """CASE WHEN mode = 'iou' THEN 'boxes' WHEN mode = 'x_distance' THEN 'positions' WHEN mode = 'sequence' THEN 'tokens' WHEN mode = 'unavailable' THEN 'none'
+  WHEN layer = 'L1' THEN 'presence' WHEN layer = 'L3_barlines' THEN 'prediction' WHEN layer = 'L4' THEN 'tokens'
+  WHEN layer = 'L2' AND s.gt_systems IS NULL THEN 'self' WHEN layer = 'L3' AND coalesce(s.gt_measures, 0) = 0 THEN 'zero_truth' ELSE 'stated' END"""
+E4_HEAD, E4_TAIL = E4_SQL.split("\nSELECT *, ")
+E4_BASIS = f"""{E4_HEAD},
+m AS (SELECT *, {E4_TAIL}),
+b AS (SELECT m.*, {BASIS} AS basis FROM m JOIN samples s ON s.sample_id = m.sample_id)"""
+
+
+@query(
+    "comparison_warnings",
+    f"""{E4_BASIS}
+SELECT sample_id, list(layer || ': ' || CASE basis {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rp.WARNINGS.items())} END ORDER BY layer) AS warnings
+FROM b WHERE basis IN ('presence', 'self', 'zero_truth', 'none') GROUP BY sample_id""",
+)
+def q_comparison_warnings(spark, sf):
+    return rp.comparison_warnings(_e4(spark, sf))
+
+
+@query("compare_samples", E4_BASIS + " SELECT sample_id, layer, mode, basis, n_gt, n_pred, tp, fp, fn, precision, recall, f1 FROM b")
 def q_compare_samples(spark, sf):
     return _e4(spark, sf).select(
-        "sample_id", "layer", "mode", "n_gt", "n_pred", "tp", "fp", "fn", *r6("precision", "recall", "f1")
+        "sample_id", "layer", "mode", "basis", "n_gt", "n_pred", "tp", "fp", "fn", *r6("precision", "recall", "f1")
     )
 
 

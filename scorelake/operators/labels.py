@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions import box
@@ -50,19 +50,30 @@ def build_heat(
     centers: DataFrame, keys: Sequence[str], length: int, sigma: float, *, all_keys: DataFrame | None = None, clip: bool = False
 ) -> DataFrame:
     """K4: per key the largest Gaussian of any centre at every position, as rows
-    (keys, pos, value). ``centers`` carry ``center`` in positions; ``clip`` drops
-    centres at or beyond the ends. Equal centres are merged before they spread."""
+    (keys, pos, value). ``centers`` carry ``center`` in positions (null and NaN are none); ``clip`` drops
+    centres at or beyond the ends.
+
+    Only the nearest centre counts, so each fills the positions up to the middle to its neighbours. Of the centres between two
+    positions the outer two can be nearest to any, which bounds what a key brings to its window by twice its length.
+    """
     keys = list(keys)
-    c = centers.select(*keys, "center")
+    c = centers.select(*keys, F.col("center").cast("double").alias("center"))
     if clip:
         c = c.where((F.col("center") > 0) & (F.col("center") < length - 1))
-    c = c.distinct()
-    if all_keys is not None:
-        c = all_keys.select(*keys).distinct().join(c, keys, "left")
-    pos = c.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    every = (c if all_keys is None else all_keys).select(*keys).distinct()
+    cell = F.greatest(F.lit(-1), F.least(F.floor("center"), F.lit(length)))
+    spots = c.where(F.col("center").isNotNull() & ~F.isnan("center")).groupBy(*keys, cell.alias("_cell"))
+    spots = spots.agg(F.array_distinct(F.array(F.min("center"), F.max("center"))).alias("_c")).select(*keys, F.explode("_c").alias("center"))
+    spots = every.join(spots, keys, "left")
+    by = Window.partitionBy(*keys).orderBy("center")
+    middle = lambda a, b: F.least(F.lit(length), F.greatest(F.lit(0), F.floor((a + b) / 2) + 1))  # the first position nearer to b
+    last, next_ = F.lag("center").over(by), F.lead("center").over(by)
+    low = F.when(last.isNull(), 0).otherwise(middle(last, F.col("center")))
+    high = F.when(next_.isNull(), length).otherwise(middle(F.col("center"), next_)) - 1
+    spots = spots.withColumns({"_low": low, "_high": high}).where("_low <= _high")
     z = (F.col("pos") - F.col("center")) / sigma
-    value = F.coalesce(F.max(F.exp(z * z * -0.5)), F.lit(0.0))
-    return pos.groupBy(*keys, "pos").agg(value.alias("value"))
+    pos = spots.withColumn("pos", F.explode(F.sequence(F.col("_low").cast("int"), F.col("_high").cast("int"))))
+    return pos.select(*keys, "pos", F.coalesce(F.exp(z * z * -0.5), F.lit(0.0)).alias("value"))
 
 
 def heat_arrays(heat: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -21,11 +21,22 @@ METRIC = (
 )
 
 
-def _metric_rows(df: DataFrame) -> DataFrame:
+#: What a count rests on where the truth has no geometry, and what a reader of the figure has to know.
+WARNINGS = {
+    "presence": "the truth has no boxes; only whether any was predicted counts",
+    "self": "the truth states no number; the prediction is compared with itself",
+    "zero_truth": "the truth states no measures",
+    "none": "the truth has nothing to compare with",
+}
+
+
+def _metric_rows(df: DataFrame, basis: str | None = None) -> DataFrame:
     if "mean_iou" not in df.columns:
         df = df.withColumn("mean_iou", F.lit(0.0))
+    if basis is not None:
+        df = df.withColumn("basis", F.lit(basis))
     counts = [F.col(c).cast("bigint").alias(c) for c in ("n_gt", "n_pred", "tp", "fp", "fn")]
-    return df.select("sample_id", "layer", "mode", *counts, "mean_iou", "precision", "recall", "f1")
+    return df.select("sample_id", "layer", "mode", *counts, "mean_iou", "precision", "recall", "f1", "basis")
 
 
 def compare_samples(
@@ -44,7 +55,9 @@ def compare_samples(
 
     ``samples`` lists every sample with ``gt_measures, gt_systems, pred_measures,
     pred_systems`` (counts, null when not declared). A layer with truth boxes is
-    matched by overlap, otherwise counts, line positions, tokens or nothing serve.
+    matched by overlap, otherwise counts, line positions, tokens or nothing serve. ``basis`` tells what a
+    figure rests on: ``boxes``, ``positions``, ``tokens``, a ``stated`` number, ``tokens`` of the truth for its notes, the ``prediction`` alone, or
+    one of the keys of ``WARNINGS``.
     """
     pitch = F.coalesce(F.nullif("kind", F.lit("")), F.lit("pitch")) == "pitch"
 
@@ -79,10 +92,10 @@ def compare_samples(
         same_kind=F.col("layer") == "L1",
     )
     c = F.col
-    row = lambda when, layer, mode, g, p: F.when(
+    row = lambda when, layer, basis, g, p: F.when(
         when,
         F.struct(
-            F.lit(layer).alias("layer"), F.lit(mode).alias("mode"),
+            F.lit(layer).alias("layer"), F.lit("count").alias("mode"), basis.alias("basis"),
             g.cast("bigint").alias("n_gt"), p.cast("bigint").alias("n_pred"),
         ),
     )
@@ -95,12 +108,12 @@ def compare_samples(
         F.explode(
             F.array_compact(
                 F.array(
-                    row(c("g_L1") == 0, "L1", "count", one, F.least(one, c("p_L1"))),
-                    row(c("g_L2") == 0, "L2", "count", F.coalesce(c("gt_systems"), c("p_L2")),
+                    row(c("g_L1") == 0, "L1", F.lit("presence"), one, F.least(one, c("p_L1"))),
+                    row(c("g_L2") == 0, "L2", F.when(c("gt_systems").isNull(), "self").otherwise("stated"), F.coalesce(c("gt_systems"), c("p_L2")),
                         F.when(c("gt_systems").isNotNull(), p_sys).otherwise(c("p_L2"))),
-                    row(c("g_L3") == 0, "L3", "count", F.coalesce(c("gt_measures"), zero), p_meas),
-                    row((c("g_xs") == 0) & (c("p_xs") > 0), "L3_barlines", "count", zero, c("p_xs")),
-                    row(no_l4 & (c("g_tok") > 0), "L4", "count", c("g_tok"), c("p_L4_pitch")),
+                    row(c("g_L3") == 0, "L3", F.when(F.coalesce(c("gt_measures"), zero) == 0, "zero_truth").otherwise("stated"), F.coalesce(c("gt_measures"), zero), p_meas),
+                    row((c("g_xs") == 0) & (c("p_xs") > 0), "L3_barlines", F.lit("prediction"), zero, c("p_xs")),
+                    row(no_l4 & (c("g_tok") > 0), "L4", F.lit("tokens"), c("g_tok"), c("p_L4_pitch")),
                 )
             )
         ).alias("m"),
@@ -125,12 +138,20 @@ def compare_samples(
         gt_xs, pred_xs.join(with_xs, "sample_id", "left_semi"), ["sample_id"], max_dist=max_dist
     ).withColumn("layer", F.lit("L3_barlines"))
     tokens = sequence_metrics(gt_tokens, pred_tokens).withColumn("layer", F.lit("L5"))
-    out = _metric_rows(boxes)
-    for part in (count_metrics(counted), bars, tokens, nothing):
-        out = out.unionByName(_metric_rows(part))
+    out = _metric_rows(boxes, "boxes")
+    for part, basis in ((count_metrics(counted), None), (bars, "positions"), (tokens, "tokens"), (nothing, "none")):
+        out = out.unionByName(_metric_rows(part, basis))
     return out
 
 
+def comparison_warnings(compared: DataFrame) -> DataFrame:
+    """(sample_id, warnings) for the samples of ``compare_samples`` with figures that rest on no real truth, by layer."""
+    said = F.create_map(*[F.lit(x) for pair in WARNINGS.items() for x in pair])[F.col("basis")]
+    rows = compared.where(said.isNotNull()).select("sample_id", F.struct("layer", F.concat_ws(": ", "layer", said).alias("text")).alias("w"))
+    found = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list("w")).alias("w"))  # a sample has six layers at most
+    return found.select("sample_id", F.transform("w", lambda w: w["text"]).alias("warnings"))
+
+
 def batch_report(metrics: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """E5: mean F1 and counts per layer; samples that failed only count as samples."""
     rows = metrics.select("sample_id", "layer", "f1", "tp", "fp", "fn")

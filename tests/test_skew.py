@@ -344,3 +344,18 @@ def test_nearest_among_boxes_of_any_size(spark):
     assert {(x.k, x.i) for x in got} == set(want)
     listed = spatial._cells(R.select("k", F.struct(*R.columns).alias("r")), 16.0)
     assert max(x["count"] for x in listed.groupBy("r.i").count().collect()) <= 4 * (spatial.LEVELS + 1)
+
+
+def test_heat_of_the_nearest_centre(spark):
+    import math
+
+    r = random.Random(9)
+    centres = [(k, r.choice([r.uniform(-9, 60), float(r.randint(0, 49)), 25.0])) for k in range(4) for _ in range(r.randint(1, 40))]
+    centres += [(7, None), (8, float("nan")), (9, 1e300), (9, -1e300), (10, 12.5)]
+    df = spark.createDataFrame(centres, "k int, center double")
+    got = {(x.k, x.pos): x.value for x in labels.build_heat(df, ["k"], 50, 1.5).collect()}
+    real = [(k, c) for k, c in centres if c is not None and not math.isnan(c)]
+    want = {(k, p): max([math.exp(-0.5 * ((p - c) / 1.5) ** 2) if abs(p - c) < 1e9 else 0.0 for j, c in real if j == k], default=0.0) for k in {k for k, _ in centres} for p in range(50)}
+    assert got == pytest.approx(want)
+    both = labels.build_heat(df, ["k"], 50, 1.5, all_keys=spark.createDataFrame([(1,), (99,)], "k int"), clip=True)
+    assert {x.k for x in both.collect() if x.value == 0} >= {99} and both.count() == 100
