@@ -148,23 +148,25 @@ NORM = """SELECT page_id, edit_idx, id, layer, label, a AS x1, b AS y1, CASE WHE
   SELECT *, greatest(0, least(x1, x2)) AS a, greatest(0, least(y1, y2)) AS b, least(1000, greatest(x1, x2)) AS c, least(1200, greatest(y1, y2)) AS d FROM e) q"""
 
 
-def _pages(items):
+def page_sizes(items):
     return items.select("page_id", F.lit(1000).alias("width"), F.lit(1200).alias("height")).distinct()
 
 
-@query(
-    "apply_edits",
+APPLY_EDITS_SQL = (
     f"""WITH e AS ({EDITS.replace('{i}', '{v:items}')}), n AS ({NORM}),
 a AS (SELECT page_id, id, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, edit_idx) AS b FROM n WHERE id <> '' GROUP BY 1, 2),
 l AS (SELECT page_id, layer, label, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, edit_idx) AS b FROM n GROUP BY 1, 2, 3)
 SELECT i.page_id, i.item_idx, coalesce(a.b.x1, l.b.x1, i.x1) AS x1, coalesce(a.b.y1, l.b.y1, i.y1) AS y1,
   coalesce(a.b.x2, l.b.x2, i.x2) AS x2, coalesce(a.b.y2, l.b.y2, i.y2) AS y2, a.b IS NOT NULL OR l.b IS NOT NULL AS edited
 FROM {{v:items}} i LEFT JOIN a ON a.page_id = i.page_id AND a.id = i.id
-LEFT JOIN l ON l.page_id = i.page_id AND l.layer = i.layer AND l.label = i.label""",
+LEFT JOIN l ON l.page_id = i.page_id AND l.layer = i.layer AND l.label = i.label"""
 )
+
+
+@query("apply_edits", APPLY_EDITS_SQL)
 def q_d8(spark, sf):
     items = view(spark, sf, "items")
-    out = pg.apply_edits(items, spark.sql(EDITS, i=items), _pages(items))
+    out = pg.apply_edits(items, spark.sql(EDITS, i=items), page_sizes(items))
     return out.select("page_id", "item_idx", "x1", "y1", "x2", "y2", "edited")
 
 
@@ -208,7 +210,7 @@ BARS = """SELECT page_id, CAST(item_idx % 3 AS INT) AS system, item_idx AS line_
 @query("rebuild_pages")
 def q_f16(spark, sf):
     items = view(spark, sf, "items")
-    out = pg.rebuild_pages(items, spark.sql(BARS, i=items), _pages(items))
+    out = pg.rebuild_pages(items, spark.sql(BARS, i=items), page_sizes(items))
     tall = lambda name, *cols: out[name].select(
         "page_id", F.lit(name).alias("part"), F.concat_ws("/", *[F.col(c).cast("string") for c in cols]).alias("path")
     )

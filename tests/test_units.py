@@ -196,3 +196,32 @@ def test_scores_from_items(spark):
     assert [(n[1], n[2], n[3]) for n in a] == [(m, i, p) for m, bar in enumerate(["123", "456", "712"], 1) for i, p in enumerate(bar)]
     assert [n[4] for n in a] == [*"春天来了啊啊", None, None, None]
     assert [n[3] for n in notes if n[0] == "b"] == ["5", "6"]
+
+
+def test_edit_batches_that_run_twice(spark, tmp_path):
+    """A micro-batch that runs again, or again after a crash between its two writes, changes nothing."""
+    from scorelake.operators.pages import apply_edits
+    from scorelake.streaming.jobs import PageEdits
+
+    items = spark.createDataFrame(
+        [(p, i, "L3", f"id{i}", "lab", "score", 0.0, 0.0, 50.0, 50.0, 1.0) for p in (1, 2, 3) for i in range(3)],
+        "page_id int, item_idx int, layer string, id string, label string, kind string, x1 double, y1 double, x2 double, y2 double, confidence double",
+    )
+    pages = spark.createDataFrame([(p, 100, 100) for p in (1, 2, 3)], "page_id int, width int, height int")
+    edit = "page_id int, edit_idx int, id string, layer string, label string, x1 double, y1 double, x2 double, y2 double"
+    batches = [
+        [(1, 0, "id0", "", "", 1.0, 1.0, 9.0, 9.0), (2, 1, "", "L3", "lab", 5.0, 5.0, 30.0, 30.0)],
+        [(1, 2, "", "L3", "lab", 7.0, 7.0, 60.0, 60.0), (1, 3, "id1", "", "", 2.0, 2.0, 2.0, 2.0)],
+    ]
+    read = lambda df: sorted(tuple(r) for r in df.select("page_id", "item_idx", "x1", "y1", "x2", "y2", "edited").collect())
+    state = PageEdits(items, pages, str(tmp_path))
+    assert read(state.current(0)) == read(items.withColumn("edited", (items.page_id < 0)))
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, edit)
+        df.write.mode("overwrite").parquet(f"{tmp_path}/log/batch={n}")  # as far as a crashed try came
+        state.take(df, n)
+        once = read(state.current(n + 1))
+        state.take(df, n)
+        assert read(state.current(n + 1)) == once
+        assert once == read(apply_edits(items, spark.createDataFrame(sum(batches[: n + 1], []), edit), pages))
+    assert read(state.current(1)) == read(apply_edits(items, spark.createDataFrame(batches[0], edit), pages))
