@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scorelake.adapters import view
 from scorelake.catalog.base import query, r6
 from scorelake.catalog.reports import MANIFEST
+from scorelake.functions.rhythm import NAMED_LENGTHS
 from scorelake.sources import documents as dc
 from scorelake.sources import inputs as inp
 
@@ -116,7 +117,7 @@ def q_a5s(spark, sf):
 DIGITAL_DOC = """SELECT o_orderkey AS doc_id, concat('{"Title":"T","KeySignature":"1=', CASE o_orderkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'b♭' ELSE 'F#' END, '","Tempo":"', CASE o_orderkey % 2 WHEN 0 THEN '3/4' ELSE '6/8 90 BPM' END,
   '","Measures":[{"LyricText":"la li","MelodyNotes":[{"Type":0,"Pitch":', CAST(o_custkey % 10 AS VARCHAR(4)), ',"Octave":1,"Underlines":', CAST(o_custkey % 3 AS VARCHAR(4)), ',"Dashes":', CAST(o_custkey % 4 AS VARCHAR(4)),
   ',"Dotted":', CASE o_custkey % 2 WHEN 0 THEN 'true' ELSE 'false' END, '},{"Type":1},{"Type":0,"Pitch":', CAST(o_custkey % 6 + 1 AS VARCHAR(4)), '.5}]}]}') AS doc FROM {orders}"""
-LENGTHS = "[(4.0,'whole',0),(3.0,'half',1),(2.0,'half',0),(1.5,'quarter',1),(1.0,'quarter',0),(0.75,'eighth',1),(0.5,'eighth',0),(0.375,'sixteenth',1),(0.25,'sixteenth',0)]"
+LENGTHS = f"[{', '.join(str(row) for row in NAMED_LENGTHS)}]"
 
 
 @query(

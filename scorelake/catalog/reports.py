@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scorelake.adapters import view
@@ -11,6 +13,8 @@ from scorelake.catalog.splits import fold_sql
 from scorelake.operators import matching as m
 from scorelake.operators import reports as rp
 from scorelake.operators import tuning as tu
+from scorelake.plans.lineage import checkpoint_folder
+from scorelake.sources import sinks
 
 METRICS = PAIRS + ",\n" + COUNTS + f",\nscored AS (SELECT *, {prf_sql()} FROM metrics)"
 
@@ -337,3 +341,58 @@ SELECT CASE WHEN grouping(subset) = 1 THEN 'ALL' ELSE subset END AS subset, coun
 )
 def q_manifest_stats(spark, sf):
     return rp.manifest_stats(spark.sql(MANIFEST, documents=spark.read.parquet(f"{sf}/documents.parquet")))
+
+
+# Layers are return flags
+DEFAULTS = "SELECT l_returnflag AS layer, map('iou', min(l_discount), 'gap', max(l_quantity), 'pad', CAST(count(*) AS DOUBLE)) AS params FROM {l} GROUP BY l_returnflag"
+OVERRIDES = """SELECT l_returnflag AS layer, map('gap', avg(l_linenumber), 'other', max(l_tax)) AS params FROM {l} WHERE l_returnflag < 'R' GROUP BY l_returnflag"""
+
+
+@query(
+    "effective_params",
+    """WITH d AS (SELECT l_returnflag AS layer, min(l_discount) AS iou, max(l_quantity) AS gap, count(*) AS pad, avg(l_linenumber) AS own FROM lineitem GROUP BY l_returnflag)
+SELECT layer, 'iou' AS name, round(iou, 6) AS value FROM d UNION ALL SELECT layer, 'pad', CAST(pad AS DOUBLE) FROM d
+UNION ALL SELECT layer, 'gap', round(CASE WHEN layer < 'R' THEN own ELSE gap END, 6) FROM d""",
+)
+def q_effective_params(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    as_double = lambda df: df.select("layer", F.col("params").cast("map<string,double>").alias("params"))
+    out = tu.effective_params(as_double(spark.sql(DEFAULTS, l=lines)), as_double(spark.sql(OVERRIDES, l=lines)))
+    return out.select("layer", F.explode("params").alias("name", "value")).withColumn("value", F.round("value", 6))
+
+
+# Two baselines, of which one is saved again from other lines; metrics by layer
+BASE = "SELECT l_returnflag AS layer, round(avg(l_discount), 6) AS mean_f1 FROM {l} WHERE {w} GROUP BY l_returnflag"
+
+
+@query(
+    "saved_baselines",
+    f"""SELECT 'main' AS name, * FROM ({BASE.format(l='lineitem', w="l_linenumber > 3")})
+UNION ALL SELECT 'other', * FROM ({BASE.format(l='lineitem', w="l_linenumber < 3")})""",
+)
+def q_saved_baselines(spark, sf):
+    """A baseline that is saved again replaces itself and leaves the other."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    path = f"{checkpoint_folder(spark)}/baselines-{uuid.uuid4().hex}"
+    report = lambda w: spark.sql(BASE.replace("{w}", w), l=lines)
+    for name, w in (("main", "l_linenumber = 1"), ("other", "l_linenumber < 3"), ("main", "l_linenumber > 3")):
+        sinks.save_baseline(report(w), name, path)
+    read = lambda name: sinks.load_baseline(spark, name, path).select(F.lit(name).alias("name"), "layer", "mean_f1")
+    return read("main").unionByName(read("other"))
+
+
+@query(
+    "saved_best_params",
+    "SELECT l_returnflag AS layer, round(CASE WHEN l_returnflag < 'R' THEN avg(l_linenumber) ELSE max(l_quantity) END, 6) AS gap, count(*) AS n FROM lineitem GROUP BY l_returnflag",
+)
+def q_saved_best_params(spark, sf):
+    """Parameters saved for some layers leave those of the others; metrics are written by layer and counted."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    place = f"{checkpoint_folder(spark)}/params-{uuid.uuid4().hex}"
+    for sql in (DEFAULTS, OVERRIDES):
+        rows = spark.sql(sql, l=lines)
+        sinks.save_best_params(rows.select("layer", F.col("params").cast("map<string,double>").alias("params")), f"{place}/best")
+    sinks.write_metrics(lines.select(F.col("l_returnflag").alias("layer"), F.col("l_discount").alias("f1")), f"{place}/metrics")
+    best = spark.read.parquet(f"{place}/best").select("layer", F.round(F.col("params")["gap"], 6).alias("gap"))
+    n = spark.read.parquet(f"{place}/metrics").groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    return best.join(n, "layer")

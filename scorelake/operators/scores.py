@@ -349,7 +349,7 @@ def arbitrate_pitch(notes: DataFrame) -> DataFrame:
     Notes carry ``ocr_text, ocr_score, geom_pitch, underlines, dots, octave,
     sustain_dashes``; ``pitch, is_rest, pitch_from, ocr_text, confidence`` are set. A text
     that is one clean digit wins from score .45 on, unless the shape says otherwise and
-    the score is below .72; then comes the shape, then any digit or rest in the text.
+    the score is below .72; then comes the shape, then any digit or rest in the text. The numbers are fixed values of the rule.
     """
     c = F.col
     t = F.coalesce(tx.plain(c("ocr_text")), F.lit(""))

@@ -33,7 +33,7 @@ def layout_documents(
 
 
 def write_layouts(documents: DataFrame, verdicts: DataFrame, path: str) -> None:
-    """Write layout documents as JSON lines; refused as a whole when any is invalid."""
+    """Write layout documents (doc_id, doc as JSON text) as Parquet; refused as a whole when any is invalid."""
     bad = verdicts.where(~F.col("ok"))
     if not bad.isEmpty():
         some = [r["sample_id"] for r in bad.select("sample_id").limit(5).collect()]
