@@ -31,8 +31,16 @@ UNITS = (
 )
 #: Bits of the filter that decides which windows of pages are shuffled; its size doesn't hang on the benchmark.
 FILTER_BITS = 1 << 23
-#: Shortest sample, in words, that can be looked for.
+#: Shortest sample, in words, that is also looked for as a template; shorter ones only as they are.
 LEAST_WORDS = 4
+#: Words that are numbers. Fixed values.
+NUMBER_WORDS = (
+    *("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen"),
+    *("sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"),
+    *("hundred", "thousand", "million", "billion", "dozen"),
+)
+#: Of how many words of a template one at least has to be literal.
+LITERAL_OF = 4
 SLICE_BYTES = 2 << 20
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 #: Code points by class: between words, digits of numbers, letters of words, letters of scripts without spaces (each a word),
@@ -117,11 +125,17 @@ def _expanded(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 @functools.cache
-def _units() -> np.ndarray:
-    points = [np.array([ord(c) for c in u], np.uint32) for u in UNITS]
+def _listed(words: tuple[str, ...]) -> np.ndarray:
+    points = [np.array([ord(c) for c in u], np.uint32) for u in words]
     return np.sort([_word_hashes(p, np.array([0]), np.array([len(p)]))[0] for p in points])
 
 
+def _among(values: np.ndarray, words: tuple[str, ...]) -> np.ndarray:
+    """Which hashes of words are those of ``words``."""
+    known = _listed(words)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Stream:
     """One reading of the words of some texts. By token: ``text`` (row), ``word`` (its first word), ``kind``, ``value`` (hash of
     the words) and ``sign`` (hash of the reading); ``new`` marks the tokens that the reading before took otherwise."""
@@ -133,17 +147,17 @@ class Stream:
         self.literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
         self.new = None if new is None else np.concatenate([[0], np.cumsum(new)])
 
-    def half(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Which spans of tokens are half literal at least."""
-        return 2 * (self.literal[end] - self.literal[at]) >= end - at
+    def telling(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which spans of tokens hold enough literal ones to be compared."""
+        return LITERAL_OF * (self.literal[end] - self.literal[at]) >= end - at
 
     def windows(self, size: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """First and behind last tokens of all windows of ``size`` tokens of one text that are half literal at least and, unless
+        """First and behind last tokens of all windows of ``size`` tokens of one text that are literal enough and, unless
         ``every``, that the reading before doesn't have."""
         at = np.flatnonzero(self.text[size - 1 :] == self.text[: max(0, len(self.text) - size + 1)])
         if not every and self.new is not None:
             at = at[self.new[at + size] > self.new[at]]
-        at = at[self.half(at, at + size)]
+        at = at[self.telling(at, at + size)]
         return at, at + size
 
     def runs(self, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +168,7 @@ class Stream:
         if self.new is not None:
             inside &= self.new[end] > self.new[at]
         at, end = at[inside], end[inside]
-        whole = self.half(at, end)
+        whole = self.telling(at, end)
         return at[whole], end[whole]
 
 
@@ -194,8 +208,8 @@ class Template:
         ends = np.concatenate([[0], np.cumsum(stops[points] & ~joint)])
         opens = ~before
         opens[1:] |= ends[start[1:]] > ends[end[:-1]]
-        units = _units()
-        unit = units[np.minimum(np.searchsorted(units, self.value), len(units) - 1)] == self.value
+        number |= _among(self.value, NUMBER_WORDS)
+        unit = _among(self.value, UNITS)
         unit[1:] &= number[:-1]
         unit &= before
         self.numbers = np.where(number, NUMBER, np.where(unit, UNIT, LITERAL)).astype(np.int8)
@@ -243,7 +257,8 @@ def _windows_of(texts: DataFrame, id_col: str, text_col: str, window: int, liter
         """(number of the reading, size, first token, behind last token, hash) of the windows."""
         for i, stream in enumerate(streams):
             count = np.diff(stream.first)
-            for size in sizes if sizes is not None else [RUN, *np.unique(np.minimum(count[count >= LEAST_WORDS], window)).tolist()]:
+            least = 1 if i == 0 else LEAST_WORDS
+            for size in sizes if sizes is not None else [RUN, *np.unique(np.minimum(count[count >= least], window)).tolist()]:
                 if size == RUN:
                     at, end = stream.runs(literals)
                     yield i, size, at, end, mix(span_hashes(prefix_hashes(stream.sign), at, end), 40)
@@ -334,8 +349,8 @@ def find_leaks(
 
     ``page_texts``: (``page_id``, ``text``); ``eval_samples``: (``sample_id``, ``text``); other columns are dropped. Words are
     runs of letters or of digits, and the single letters of scripts without spaces, so punctuation and case don't matter; a sample of fewer than ``window`` words is
-    looked for as a whole, one of fewer than four isn't looked for. A window counts as found if all its words stand on
-    the page, or the same template; a template that is more than half placeholders isn't compared. A capital within a
+    looked for as a whole, one of fewer than four words only verbatim. A window counts as found if all its words stand on
+    the page, or the same template; a template without a literal word in four isn't compared. Number words count as numbers. A capital within a
     sentence makes a name, one that opens a sentence makes both a word and a name (only a word in samples of fewer than
     ``window`` words); names that follow each other are one.
 

@@ -443,3 +443,39 @@ def test_words_built_to_collide(spark):
     samples = spark.createDataFrame([(1, f"{lead} {one}")], "sample_id bigint, text string")
     found = contamination.find_leaks(pages(spark, [(3, one), (4, two), (8, f"{lead} {one}")]), samples)
     assert {r.page_id for r in found.collect()} == {8}
+
+
+def test_leaks_of_short_and_figured_items(spark):
+    """Items of a few words verbatim, items of little but figures and names with others, number words as numbers."""
+    samples = [(1, "Why not?"), (2, "Sea level"), (3, "Antarctica"), (5, "How many days are left if seven of nine pass?")]
+    samples.append((4, "In 1905 Smith paid 40 dollars, 12 cents, 7 euros and 9 pounds to Jones."))
+    texts = [(10, "He asked why, not how. WHY NOT? she said."), (11, "it lies at sea level here"), (12, "the seal evels"), (13, "to antarctica, and back")]
+    texts += [(14, "They say: in 1872 Brown paid 55 dollars, 31 cents, 6 euros and 2 pounds to Miller. So it was."), (15, "In 1905 it rained for 40 days and 7 nights.")]
+    texts += [(16, "so how many days are left if 4 of 31 pass? Tell me")]
+    found = contamination.find_leaks(spark.createDataFrame(texts, "page_id bigint, text string"), spark.createDataFrame(samples, "sample_id bigint, text string"))
+    assert sorted((r.page_id, r.sample_id) for r in found.collect()) == [(10, 1), (11, 2), (13, 3), (14, 4), (16, 5)]
+
+
+def test_leaks_recall_on_other_figures_and_names(spark):
+    """The items of the benchmark with figures, number words, names and units put in, against copies with others, are found, nine in ten."""
+    words = [(r.item_id, r.text.split()) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    r = random.Random(12)
+    kinds = [["7", "12", "1,905", "3.5"], ["two", "five", "nine"], ["Zora", "Quentin", "Ivo Maria"], ["4 km", "9 dollars", "30 minutes"]]
+    items, copies = [], []
+    for i, text in words:
+        mine, theirs = [text[0]], [text[0]]
+        for w in text[1:]:
+            if r.random() < 0.25:
+                a, b = r.sample(r.choice(kinds), 2)
+                mine.append(a)
+                theirs.append(b)
+            mine.append(w)
+            theirs.append(w)
+        items.append((i, " ".join(mine)))
+        copies.append((i, f"somebody wrote it down once. {' '.join(theirs)} and that was all there was to say about it"))
+    changed = sum(t not in c for (_, t), (_, c) in zip(items, copies, strict=True))
+    found = contamination.find_leaks(
+        spark.createDataFrame(copies, "page_id bigint, text string"), spark.createDataFrame(items, "sample_id bigint, text string"), consistency=0.0
+    )
+    hit = {r.page_id for r in found.filter("page_id = sample_id").collect()}
+    assert changed > 0.9 * len(items) and len(hit) >= 0.9 * len(items)
